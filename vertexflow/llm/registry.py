@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, licenses, media, token_files
+from . import bpe, decontam, licenses, media, token_files, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.to_media(table(spark, sf_dir, "documents")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark, sf_dir)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(*token_files.write_token_files(table(spark, sf_dir, "documents")))
 
@@ -31,7 +35,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_licenses, op5_media, op7_token_files, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_licenses, op5_media, op6_toxicity, op7_token_files, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
