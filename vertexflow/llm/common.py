@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +26,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def id_text(df: DataFrame) -> DataFrame:
     """Only the two columns that operators read, so that other columns' names can't clash."""
+    ship(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors' Python workers, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp()) / f"{root.name}_sources.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(path))
+        _SHIPPED.add(sc.applicationId)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
