@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, licenses, media, token_files, toxicity
+from . import bpe, decontam, langid, licenses, media, sharding, token_files, toxicity
 from .common import table
 
 
@@ -34,12 +34,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_licenses, op5_media, op6_toxicity, op7_token_files, op8_language, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_licenses, op5_media, op6_toxicity, op7_token_files, op8_language, op9_sharding, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
