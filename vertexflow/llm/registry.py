@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, licenses, media, sharding, simhash, token_files, toxicity
+from . import bpe, decontam, langid, licenses, media, repeats, sharding, simhash, token_files, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_licenses, op4_simhash, op5_media, op6_toxicity, op7_token_files, op8_language, op9_sharding, op10_bpe)}
+    return {f.__name__: f for f in (op1_decontamination, op2_licenses, op3_suffix_dedup, op4_simhash, op5_media, op6_toxicity, op7_token_files, op8_language, op9_sharding, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
