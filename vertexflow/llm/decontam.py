@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, staged, words
+from .common import id_text, ship, staged, words
 
 WINDOW = 10
 #: Benchmark text searched for in one pass over the documents; more is dealt into passes by item.
@@ -153,3 +153,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     rows = scan(docs, benchmark, window, pass_bytes)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, r: a + (r["past"] - r["first"]))
     return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window occurs; one pass for each block of the benchmark."""
+    spark = ship(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def without(source: DataFrame, items) -> DataFrame:
+        shared = spark.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = matchers(shared.value, window)
+            for batch in batches:
+                clean = [not any(True for m in found for _ in m.search(w)) for w in map(words, batch.column(at).to_pylist())]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return source.mapInArrow(run, docs.schema)
+
+    passes, items = _item_passes(benchmark, pass_bytes)
+    for i in range(passes):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)
+        docs = without(docs, [tuple(r) for r in block.collect()])
+    return docs

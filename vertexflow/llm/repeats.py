@@ -303,40 +303,61 @@ def merged_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def without_runs(text: str | None, runs: list[dict] | None) -> tuple[bytes, bytes, int]:
+    """The text's bytes, those that stay, and the number of maximal removed runs."""
+    data = (text or "").encode()
+    spans = merged_runs([(r["first"], r["past"]) for r in runs or []])
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(data[at:a])
+        at = b
+    return data, b"".join([*kept, data[at:]]), len(spans)
+
+
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, long_group: int = LONG_GROUP, with_text: bool = False) -> DataFrame:
-    """Each row without the bytes covered by a string of ``length`` bytes that starts more than once.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, long_group: int = LONG_GROUP) -> DataFrame:
+    """What each row keeps without the bytes covered by a string of ``length`` bytes that starts more than once.
 
-    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256; with_text
-    adds th (hash of the text), and kept_text, whose characters that lost a byte are left out. All
+    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256. All
     occurrences go, the first one too. Null texts count as empty; texts shorter than length stay.
     Rows that repeat count as occurrences of each other, null ids are allowed, matches never
     cross rows.
     """
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[] for _ in range(5)]
-            for text, runs in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                data = (text or "").encode()
-                spans = merged_runs([(r["first"], r["past"]) for r in runs or []])
-                kept, at = [], 0
-                for a, b in spans:
-                    kept.append(data[at:a])
-                    at = b
-                left = b"".join([*kept, data[at:]])
-                found = (len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None)
-                for out, v in zip(rows, found, strict=True):
+            rows: list[list] = [[] for _ in range(4)]
+            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                data, left, n = without_runs(text, runs)
+                for out, v in zip(rows, (len(data), len(data) - len(left), n, hashlib.sha256(left).hexdigest()), strict=True):
                     out.append(v)
-            kinds = [pa.int64()] * 3 + [pa.string()] * 2
-            columns = [batch.column(0), *map(pa.array, rows, kinds)]
-            if with_text:
-                yield pa.RecordBatch.from_arrays([*columns, batch.column(2)], [*names, "kept_text", "th"])
-            else:
-                yield pa.RecordBatch.from_arrays(columns[:-1], names)
-
-    joined = _with_text(docs, covered_runs(docs, length, long_group), "left").select("doc_id", "text", "th", "runs")
-    return joined.mapInArrow(run, SCHEMA + (", kept_text string, th long" if with_text else ""))
+            kinds = [pa.int64()] * 3 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows, kinds)], [f.split()[0] for f in SCHEMA.split(", ")])
+
+    joined = _with_text(docs, covered_runs(docs, length, long_group), "left").select("doc_id", "text", "runs")
+    return joined.mapInArrow(run, SCHEMA)
+
+
+def deduplicate(docs: DataFrame, length: int = LENGTH, long_group: int = LONG_GROUP) -> DataFrame:
+    """The rows of docs with such bytes removed from text; n_chars, if there, is counted anew.
+
+    A character that lost some of its bytes goes whole. Null texts stay null.
+    """
+    runs = covered_runs(docs, length, long_group).withColumnsRenamed({"doc_id": "vf_id", "th": "vf_th", "runs": "vf_runs"})
+    names = docs.columns
+    text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    keyed = docs.withColumn("vf_own_id", F.col("doc_id").cast("long")).withColumn("vf_own_th", F.xxhash64(F.col("text").cast("string")))
+    joined = keyed.join(runs, F.col("vf_own_id").eqNullSafe(F.col("vf_id")) & (F.col("vf_own_th") == F.col("vf_th")), "left").select(*[F.col(f"`{c}`") for c in names], "vf_runs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns[:-1])
+            texts = [t if t is None or not r else without_runs(t, r)[1].decode("utf-8", "ignore") for t, r in zip(batch.column(text_at).to_pylist(), batch.columns[-1].to_pylist(), strict=True)]
+            columns[text_at] = pa.array(texts, pa.string())
+            if chars_at is not None:
+                columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[chars_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return joined.mapInArrow(run, docs.schema)

@@ -56,14 +56,14 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of each row. Map-only."""
+    """doc_id, th (hash of the text) and fp, the fingerprint as a signed long, of each row. Map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp)], ["doc_id", "th", "fp"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -134,6 +134,18 @@ def links(fps: DataFrame, distance: int = DISTANCE, long_list: int = LONG_LIST)
     return out
 
 
+def _grouped(docs: DataFrame, size: int, distance: int, long_list: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their fingerprints, and of each fingerprint its group (a fingerprint) and the group's least doc_id."""
+    rows, _ = staged(fingerprints(docs, size), "fingerprints")
+    each, _ = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
+    found = components(links(each.select("fp"), distance, long_list))
+    of = found.join(each, found["node"] == each["fp"]).select("node", "root", "least")
+    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = of.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    ids = each.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
+    return rows, ids
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE, long_list: int = LONG_LIST) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id reachable) of each row.
 
@@ -141,11 +153,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
     other. Repeated rows and ids repeat; a null id takes no part in the least id, so a
     component of null ids alone has a null one. Texts of any length are read whole.
     """
-    rows, _ = staged(fingerprints(docs, size), "fingerprints")
-    each, _ = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    found = components(links(each.select("fp"), distance, long_list))
-    of = found.join(each, found["node"] == each["fp"]).select("node", "root", "least")
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = of.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    ids = each.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    rows, ids = _grouped(docs, size, distance, long_list)
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE, long_list: int = LONG_LIST) -> DataFrame:
+    """The rows of docs, with all their columns, that have the least id of their group; of groups without ids, one row."""
+    rows, ids = _grouped(docs, size, distance, long_list)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m")
+    by_fp = rows.groupBy("fp").agg(first).join(ids.select("fp", "group"), "fp")
+    kept = by_fp.groupBy("group").agg(F.min("m").alias("m")).select(F.col("m.doc_id").alias("vf_id"), F.col("m.th").alias("vf_th"))
+    keyed = docs.withColumn("vf_own_id", F.col("doc_id").cast("long")).withColumn("vf_own_th", F.xxhash64(F.col("text").cast("string")))
+    out = keyed.join(kept, F.col("vf_own_id").eqNullSafe(F.col("vf_id")) & (F.col("vf_own_th") == F.col("vf_th")), "left_semi")
+    if not rows.groupBy("doc_id", "th").count().where("count > 1").isEmpty():  # repeated rows are one document
+        out = out.dropDuplicates(["vf_own_id", "vf_own_th"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

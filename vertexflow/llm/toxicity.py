@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, id_text, staged, table, words
+from .common import drop_path, id_text, ship, staged, table, words
 
 #: Byte lengths of the prefixes that a word's chain goes through, and the absolute discount.
 STEPS, DISCOUNT = (3, 5, 7, 9), 0.75
@@ -321,6 +321,19 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return id_text(docs).mapInArrow(run, SCHEMA)
 
 
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, that aren't predicted toxic."""
+    shared = ship(docs.sparkSession).sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
