@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 from .common import id_text
 from .pieces import PieceCache
 
-#: Memoised pair verdicts per worker.
-MAX_PAIRS = 1_000_000
+#: Memoised pair verdicts and prefixes per worker, and the length up to which pieces share their prefixes.
+MAX_PAIRS, MAX_PREFIXES, MAX_SHARED = 1_000_000, 500_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -46,7 +47,9 @@ class PrefixBPE:
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
+        self.suffixes = {b[i:] for b in ranks for i in range(len(b))}
         self._pairs: dict[int, bool] = {}
+        self._last: dict[bytes, int] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Plain rank-ordered merging, lowest rank first and leftmost among equals; used for pairs only."""
@@ -72,10 +75,16 @@ class PrefixBPE:
         return known
 
     def last_token(self, data: bytes, end: int, last: list[int]) -> int:
-        ranks, valid = self.ranks, self.pairs_validly
-        for start in range(max(0, end - self.longest), end):
-            t = ranks.get(data[start:end])
-            if t is not None and (not start or valid(last[start], t)):
+        """The longest token that ends here and pairs validly; longer ones than any token's suffix aren't tried."""
+        ranks, suffixes = self.ranks, self.suffixes
+        start = end - 1
+        found = []
+        while start >= 0 and (piece := data[start:end]) in suffixes:
+            if piece in ranks:
+                found.append((start, ranks[piece]))
+            start -= 1
+        for start, t in reversed(found):
+            if not start or self.pairs_validly(last[start], t):
                 return t
         raise ValueError("a byte of the text has no token")
 
@@ -83,7 +92,41 @@ class PrefixBPE:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        return PrefixTable(self, data).encoding()
+        if len(data) > MAX_SHARED:
+            return PrefixTable(self, data).encoding()
+        self._store(data)
+        known, tokens = self._last, self.tokens
+        at, out = len(data), []
+        while at:
+            out.append(known[data[:at]])
+            at -= len(tokens[out[-1]])
+        return out[::-1]
+
+    def _store(self, data: bytes) -> None:
+        """Makes the last tokens of all prefixes known; pieces with a common beginning share them."""
+        known, ranks, suffixes, pairs = self._last, self.ranks, self.suffixes, self._pairs
+        if len(known) > MAX_PREFIXES:
+            known.clear()
+        done = len(data)
+        while done and data[:done] not in known:
+            done -= 1
+        for end in range(done + 1, len(data) + 1):
+            start, found = end - 1, []
+            while start >= 0 and (piece := data[start:end]) in suffixes:
+                if piece in ranks:
+                    found.append(start)
+                start -= 1
+            for start in reversed(found):
+                t = ranks[data[start:end]]
+                if start:
+                    left = known[data[:start]]
+                    valid = pairs.get(left << 32 | t)
+                    if not (self.pairs_validly(left, t) if valid is None else valid):
+                        continue
+                known[data[:end]] = t
+                break
+            else:
+                raise ValueError("a byte of the text has no token")
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -139,13 +182,9 @@ def _model(ranks_path: str, pattern: str) -> tuple[PrefixBPE, PieceCache]:
         bpe = PrefixBPE(load_ranks(ranks_path))
 
         def encode(found):
-            ids = [bpe.encode(m.encode()) for m in found]
-            return [(tuple(i), " ".join(map(str, i))) for i in ids]
-
-        def concat(values):
-            return tuple(i for v in values for i in v[0]), " ".join(v[1] for v in values)
+            return [array("I", bpe.encode(m.encode())).tobytes() for m in found]
 
-        _MODELS[key] = bpe, PieceCache(pattern, encode, concat)
+        _MODELS[key] = bpe, PieceCache(pattern, encode)
     return _MODELS[key]
 
 
@@ -155,7 +194,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def encode_text(text: str | None, ranks_path: str | None = None, pattern: str | None = None) -> list[int]:
     """The ids of one text; null and empty give none."""
     _, cache = _model(ranks_path or default_ranks_path(), pattern or default_pattern())
-    return [i for v in cache.values(text) for i in v[0]] if text else []
+    return array("I", b"".join(cache.values(text))).tolist() if text else []
 
 
 def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -171,14 +210,14 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, cache = _model(ranks_path, pattern)
         sha, vocab = hashlib.sha256, bpe.tokens
+        decimal = {i: str(i) for i in vocab}
         for batch in batches:
             rows: list[list] = [[], [], []]
             all_ids = []
             for text in batch.column(1).to_pylist():
-                values = cache.values(text) if text else []
-                ids = [i for v in values for i in v[0]]
+                ids = array("I", b"".join(cache.values(text)) if text else b"").tolist()
                 rows[0].append(len(ids))
-                rows[1].append(sha(" ".join([v[1] for v in values]).encode()).hexdigest())
+                rows[1].append(sha(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
                 rows[2].append(sha(b"".join([vocab[i] for i in ids])).hexdigest())
                 if with_ids:
                     all_ids.append(ids)

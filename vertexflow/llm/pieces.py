@@ -1,65 +1,54 @@
-"""Splits texts at single spaces and memoises what each piece is worth.
-
-In the pre-tokeniser's pattern a single space between two non-space characters
-always starts a new match, so such a text may be cut there and each cut encoded
-alone. Texts with other white space beside a space are matched as a whole.
-"""
+"""Splits texts by a pre-tokeniser's pattern and memoises what each match is worth."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import regex
 
-#: Entries held per cache; a full cache is emptied, so a worker's memory is bounded.
-MAX_CACHED = 400_000
+#: Entries per generation of a cache: when the young one is full it becomes the old one, so that memory is bounded and frequent matches stay.
+MAX_CACHED = 300_000
+#: Letters and other characters for which the narrow form of a pattern matches the same as the full one.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
+OTHERS = "\t\n\x0b\x0c\r -@[-`{-~"
+
+
+def narrow(pattern: str) -> str | None:
+    r"""The pattern with \p{L} and \p{N} spelt out for texts of LETTERS and OTHERS only; None if it has more classes."""
+    out = pattern.replace(r"\p{L}\p{N}]", LETTERS + "0-9]").replace(r"\p{L}+", f"[{LETTERS}]+").replace(r"\p{N}+", "[0-9]+")
+    return None if r"\p" in out else out
 
 
 class PieceCache:
-    """values(text) gives the value of each piece, in order; their concatenation is the text's encoding."""
+    """values(text) gives the value of each match, in order; their concatenation is the text's encoding."""
 
-    def __init__(self, pattern: str, encode: Callable[[Sequence[str]], list], concat: Callable[[list], object]):
-        self.find = regex.compile(pattern).findall
-        self.encode, self.concat = encode, concat
-        self.matches: dict[str, object] = {}
-        self.heads: dict[str, object] = {}
-        self.tails: dict[str, object] = {}
+    def __init__(self, pattern: str, encode: Callable[[Sequence[str]], list]):
+        self.encode = encode
+        self.full = regex.compile(pattern).findall
+        small = narrow(pattern)
+        self.narrow = re.compile(small).findall if small else None
+        self.beyond = re.compile(f"[^{LETTERS}{OTHERS}]").search
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
 
-    def _matched(self, found: list[str]) -> list:
-        known = self.matches
+    def matches(self, text: str) -> list[str]:
+        return self.full(text) if self.narrow is None or self.beyond(text) else self.narrow(text)
+
+    def values(self, text: str) -> list:
+        found, known = self.matches(text), self.young
         try:
             return [known[m] for m in found]
         except KeyError:
             pass
         if len(known) > MAX_CACHED:
-            known.clear()
-        new = list(dict.fromkeys(m for m in found if m not in known))
+            known, self.old = {}, known
+            self.young = known
+        old, new = self.old, []
+        for m in dict.fromkeys(m for m in found if m not in known):
+            if m in old:
+                known[m] = old[m]
+            else:
+                new.append(m)
         known.update(zip(new, self.encode(new), strict=True))
         return [known[m] for m in found]
-
-    def _fill(self, cache: dict, parts: list[str], lead: str) -> None:
-        if len(cache) > MAX_CACHED:
-            cache.clear()
-        new = [p for p in dict.fromkeys(parts) if p not in cache]
-        safe = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        found = [self.find(lead + p) for p in safe]
-        values = self._matched([m for f in found for m in f])
-        at = 0
-        for p, f in zip(safe, found, strict=True):
-            cache[p] = values[at] if len(f) == 1 else self.concat(values[at : at + len(f)])
-            at += len(f)
-        for p in new:
-            cache.setdefault(p, None)
-
-    def values(self, text: str) -> list:
-        parts = text.split(" ")
-        head, tail = parts[:1], parts[1:]
-        if head[0] not in self.heads:
-            self._fill(self.heads, head, "")
-        try:
-            got = [self.tails[p] for p in tail]
-        except KeyError:
-            self._fill(self.tails, tail, " ")
-            got = [self.tails[p] for p in tail]
-        got.insert(0, self.heads[head[0]])
-        return self._matched(self.find(text)) if None in got else got
