@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,9 +141,9 @@ def _cache(tokenizer_path: str, pattern: str) -> PieceCache:
         tok.encode_special_tokens = True
 
         def encode(found):
-            return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(list(found), add_special_tokens=False)]
+            return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(list(found), add_special_tokens=False)]
 
-        _CACHES[key] = PieceCache(pattern, encode, b"".join)
+        _CACHES[key] = PieceCache(pattern, encode)
     return _CACHES[key]
 
 
