@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, licenses, media, repeats, sharding, simhash, token_files, toxicity
+from . import bpe, decontam, langid, licenses, media, repeats, sharding, simhash, sql, token_files, toxicity
 from .common import table
 
 
@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": sql.DECONTAMINATION, "op2_licenses": sql.licenses_sql()}
