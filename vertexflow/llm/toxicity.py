@@ -34,7 +34,8 @@ MIN_DOCS, MIN_PAIR_DOCS = 3, 8
 #: Likelihood-ratio statistic of the documents of both classes from which a step or pair is kept.
 SIGNIFICANT = 20.0
 FOLDS, CALIBRATION = 5, 4
-_CACHE = 400_000
+#: Words remembered by a scorer, and expressions counted before a task passes its sums on.
+_CACHE, _FLUSH = 100_000, 50_000
 
 
 def chain(word: bytes) -> list[bytes]:
@@ -137,7 +138,7 @@ def _train_counts(rows: DataFrame) -> DataFrame:
                 docs.update(here.keys())
                 if y:
                     toxic.update(here.keys())
-                if len(docs) > _CACHE:
+                if len(docs) > _FLUSH:
                     yield flush()
         if docs:
             yield flush()
