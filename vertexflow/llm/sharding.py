@@ -97,8 +97,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
         held = state.where("linked").groupBy(*group, "shard").agg(F.count("*").alias("c"))
         best = held.where(F.col("shard").isin(open_)).groupBy(*group).agg(F.max(F.struct("c", (-F.col("shard")).alias("s"))).alias("b"))
         best = best.select(*group, (-F.col("b.s")).alias("to"), F.col("b.c").alias("there"))
-        # A shard that is closed keeps its share; elsewhere a document moves if more of its group is there.
-        here = held.join(best, group).where(F.col("shard").isin(open_) & (F.col("to") != F.col("shard"))).select(*group, "shard", "to", (F.col("there") - F.col("c") + 1).alias("gain"))
+        # A document moves to where most of its group is; out of a closed shard only if that is more than stays.
+        here = held.join(best, group).where((F.col("to") != F.col("shard")) & (F.col("shard").isin(open_) | (F.col("there") > F.col("c")))).select(*group, "shard", "to", (F.col("there") - F.col("c") + 1).alias("gain"))
         movers, mover_path = numbered(state.where("linked").join(here, [*group, "shard"]).select("rid", "shard", "to", "gain").withColumn("last", -F.col("gain")), ["shard", "to"], ["last", "rid"], "movers")
         old.append(mover_path)
         wanted = {(a, b): n for a, b, n in movers.groupBy("shard", "to").count().collect()}
