@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -96,3 +97,4 @@ def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of steps whose results are already staged."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # the cleaner works on its own thread

@@ -3,8 +3,9 @@
 Sorting every suffix of a corpus is out of reach, but every string of ``length`` bytes
 has one anchor: the position whose 8 bytes hash least in its first ``length`` - 50. Equal
 strings have it at equal offsets, so only anchored suffixes need an order, a few
-in a hundred. Each map task (a shard) emits those whose first 51 bytes occur twice in the
-corpus, with the bytes after and, as in a Burrows-Wheeler transform, the bytes before.
+in a hundred. Equal windows around anchors are one entry, whose strings are all repeated if it
+has two rows. Each map task (a shard) emits the entries whose first 51 bytes other entries
+have, too, with the bytes after and, as in a Burrows-Wheeler transform, the bytes before.
 
 The suffixes of all shards are merged by iterative interleave refinement: the first
 interleave is by the common 51 bytes; each round looks at the next 8 bytes of intervals
@@ -32,6 +33,8 @@ LENGTH, GRAM, CORE = 200, 8, 51
 BUFFER = 2_000_000
 #: Anchors with the same 51 bytes that one task merges at most; more are counted by string in all tasks.
 LONG_GROUP = 50_000
+#: Up to so many such groups their list goes to every task.
+BROADCAST_ROWS = 100_000
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -93,23 +96,35 @@ def _segments(texts: list[bytes], length: int) -> Iterator[tuple[bytes, list[tup
 
 
 def anchor_table(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, th (hash of the text), h (hash of the 51 bytes) and place (position, least and greatest offset packed)."""
+    """A row for each anchor: doc_id, th (hash of the text), h (hash of the 51 bytes), c and place.
+
+    c is the hash of all bytes that a string with this anchor can have, and of how many of them
+    are before it; place packs position, least and greatest offset.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = xxhash.xxh3_64_intdigest
+        hashed, before = xxhash.xxh3_64_intdigest, length - CORE
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            found = []
             for buf, cuts, which, begins in _segments(texts, length):
                 owner, at, lo, hi = anchors(buf, cuts, length)
-                if not len(at):
-                    continue
-                h = np.array([hashed(buf[a : a + CORE]) for a in at.tolist()], np.uint64).view(np.int64)
-                shift = np.array(begins) - np.array([a for a, _ in cuts])
-                place = (at + shift[owner]) << 24 | lo << 12 | hi
-                row = pa.array(np.array(which)[owner])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(h), pa.array(place)], ["doc_id", "th", "h", "place"])
+                found.append((np.array(which, np.int64)[owner], at + (np.array(begins, np.int64) - np.array([a for a, _ in cuts], np.int64))[owner], lo, hi))
+            row, at, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+            if not len(row):
+                continue
+            # An anchor whose offsets a cut divides is one row again.
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] != at[:-1])]))
+            row, at, lo, hi = row[new], at[new], np.minimum.reduceat(lo, new), np.maximum.reduceat(hi, new)
+            h, c = np.empty(len(row), np.uint64), np.empty(len(row), np.uint64)
+            for i, (r, a) in enumerate(zip(row.tolist(), at.tolist(), strict=True)):
+                t = texts[r]
+                h[i] = hashed(t[a : a + CORE])
+                c[i] = hashed(t[max(0, a - before) : a + length], min(a, before))
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(at << 24 | lo << 12 | hi)], ["doc_id", "th", "h", "c", "place"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, th long, h long, place long")
+    return _keyed(docs).mapInArrow(run, "doc_id long, th long, h long, c long, place long")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -222,28 +237,11 @@ def _merge(suffixes: DataFrame, length: int) -> DataFrame:
         return row, at - high, at - low + length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "th", "first", "past"]
-        held: pa.Table | None = None
-
-        def done(rows: pa.Table) -> pa.RecordBatch:
+        for rows in _whole_groups(batches, 4_000):
             row, first, past = solve(rows["h"].to_numpy(), rows["place"].to_numpy(), rows["t"].to_pylist(), rows["left"].to_numpy())
             take = pa.array(row)
             cols = [rows[c].take(take).combine_chunks() for c in ("doc_id", "th")]
-            return pa.RecordBatch.from_arrays([*cols, pa.array(first), pa.array(past)], names)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            more = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, more]) if held is not None else more
-            if held.num_rows >= 4_000:
-                h = held["h"].to_numpy()
-                whole = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0  # the last group may go on
-                if whole:
-                    yield done(held.slice(0, whole))
-                    held = held.slice(whole).combine_chunks()
-        if held is not None and held.num_rows:
-            yield done(held)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(first), pa.array(past)], ["doc_id", "th", "first", "past"])
 
     dealt = suffixes.repartition("h").sortWithinPartitions("h")
     return dealt.mapInArrow(run, "doc_id long, th long, first long, past long")
@@ -272,24 +270,92 @@ def _count(suffixes: DataFrame, length: int) -> DataFrame:
     return strings.join(twice, ["a", "b"], "left_semi").select("doc_id", "th", "first", (F.col("first") + length).alias("past"))
 
 
+def _classes(marks: DataFrame, length: int) -> DataFrame:
+    """Decides what equal windows decide, and names what has to be merged.
+
+    Rows kind 0 (doc_id, th, first, past) are runs: anchors whose whole windows are equal have
+    all their strings repeated. Rows of kind 1 (doc_id, th, h, place) stand for the classes of
+    equal windows of anchors that share their 51 bytes with another class.
+    """
+    names = ["kind", "doc_id", "th", "x", "y"]
+
+    def done(rows: pa.Table) -> pa.RecordBatch:
+        h, c, place = (rows[x].to_numpy() for x in ("h", "c", "place"))
+        order = np.lexsort((c, h))
+        h, c, place = h[order], c[order], place[order]
+        new_h = np.concatenate([[True], h[1:] != h[:-1]])
+        new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
+        in_c, in_h = np.cumsum(new_c) - 1, np.cumsum(new_h) - 1
+        twice = np.bincount(in_c)[in_c] > 1
+        mixed = np.bincount(in_h[new_c])[in_h] > 1
+        runs, asked = np.flatnonzero(twice), np.flatnonzero(new_c & mixed)
+        at, lo, hi = place[runs] >> 24, place[runs] >> 12 & 0xFFF, place[runs] & 0xFFF
+        x, y = np.concatenate([at - hi, h[asked]]), np.concatenate([at - lo + length, place[asked]])
+        take = pa.array(order[np.concatenate([runs, asked])])
+        kind = np.concatenate([np.zeros(len(runs), np.int8), np.ones(len(asked), np.int8)])
+        ids = [rows[n].take(take).combine_chunks() for n in ("doc_id", "th")]
+        return pa.RecordBatch.from_arrays([pa.array(kind), *ids, pa.array(x), pa.array(y)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches, 100_000):
+            yield done(rows)
+
+    dealt = marks.repartition("h").sortWithinPartitions("h")
+    return dealt.mapInArrow(run, "kind byte, doc_id long, th long, x long, y long")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Tables of at least so many rows of a stream sorted by h; they never divide rows of equal h."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        total += batch.num_rows
+        if total >= least:
+            rows = pa.Table.from_batches(held)
+            h = rows["h"].to_numpy()
+            if h[0] != h[-1]:
+                whole = int(np.flatnonzero(h != h[-1])[-1]) + 1  # the last group may go on
+                yield rows.slice(0, whole)
+                held = rows.slice(whole).combine_chunks().to_batches()
+                total -= whole
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def covered_runs(docs: DataFrame, length: int = LENGTH, long_group: int = LONG_GROUP) -> DataFrame:
     """doc_id, th and runs (first, past) of bytes covered by strings that start more than once; runs may overlap."""
     if not CORE + GRAM < length <= CORE + 0xFFF:
         raise ValueError("length is out of range")
     spark = docs.sparkSession
     marks, marks_path = staged(anchor_table(docs, length), "anchors")
-    twice = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    live, live_path = staged(marks.join(twice, "h"), "live")
+    long, _ = staged(marks.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > long_group).select("h"), "long")
+    n_long = long.count()
+    if n_long:
+        long = F.broadcast(long) if n_long <= BROADCAST_ROWS else long
+    told, told_path = staged(_classes(marks.join(long, "h", "left_anti") if n_long else marks, length), "classes")
+    runs = told.where("kind = 0").select("doc_id", "th", F.col("x").alias("first"), F.col("y").alias("past"))
+    asked = told.where("kind = 1").select("doc_id", "th", F.col("x").alias("h"), F.col("y").alias("place"))
+    more = None
+    if n_long:  # the same in all tasks: classes by count, their strings one by one
+        hot, hot_path = staged(marks.join(long, "h", "left_semi"), "hot")
+        twice = hot.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("one"))
+        classes, _ = staged(twice, "twice")
+        at, lo, hi = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(0xFFF), F.col("place").bitwiseAND(0xFFF)
+        equal = hot.join(classes.where("n > 1").select("h", "c"), ["h", "c"], "left_semi")
+        runs = runs.unionByName(equal.select("doc_id", "th", (at - hi).alias("first"), (at - lo + length).alias("past")))
+        one = classes.select("h", "one.doc_id", "one.th", "one.place")
+        more, _ = staged(_count(suffix_table(docs, one, length), length), "strings")
     drop_path(spark, marks_path)
-    del marks, twice
+    del marks
     release(spark)
-    runs, _ = staged(_merge(suffix_table(docs, live.where(F.col("n") <= long_group), length), length), "runs")
+    merged, _ = staged(_merge(suffix_table(docs, asked, length), length), "runs")
     release(spark)
-    long = live.where(F.col("n") > long_group)
-    if not long.isEmpty():
-        more, _ = staged(_count(suffix_table(docs, long, length), length), "runs")
+    runs = runs.unionByName(merged)
+    if more is not None:
         runs = runs.unionByName(more)
-    drop_path(spark, live_path)
     return runs.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "past")).alias("runs"))
 
 
