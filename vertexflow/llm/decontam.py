@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, ship, staged, words
+from .common import id_text, ship, sliced, staged, words
 
 WINDOW = 10
 #: Benchmark text searched for in one pass over the documents; more is dealt into passes by item.
@@ -104,7 +104,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = matchers(shared.value, window)
-            for batch in batches:
+            for batch in sliced(batches):
                 n, hits, got = [], [], []
                 for text in batch.column(1).to_pylist():
                     w = words(text)
@@ -165,7 +165,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = matchers(shared.value, window)
-            for batch in batches:
+            for batch in sliced(batches):
                 clean = [not any(True for m in found for _ in m.search(w)) for w in map(words, batch.column(at).to_pylist())]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

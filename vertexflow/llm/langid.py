@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, sliced
 
 BITS = 15
 SIZE = 1 << BITS
@@ -118,7 +118,7 @@ def _document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(SIZE, np.int64), 0
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 at, _ = grams(text)
                 df[at] += 1
@@ -139,7 +139,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     picked = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang")  # a bounded table of ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [grams(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))], ["doc_id", "lang", "f", "c"])
 
@@ -173,7 +173,7 @@ def predict_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             found = [model.predict(t) for t in batch.column(1).to_pylist()]
             out = [i is None or zlib.crc32(str(i).encode()) % FOLDS == 0 for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WORD_TABLE, id_text, words
+from .common import WORD_TABLE, id_text, sliced, words
 
 #: Phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -155,7 +155,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[list] = [[] for _ in range(7)]
             for text in batch.column(1).to_pylist():
                 n, places, base, more = scanner.scan(text)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import id_text, sliced
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH, LEVEL, SIDE, LOW = 64, 6, 32, 8
@@ -137,12 +137,10 @@ def to_media(docs: DataFrame, level: int = LEVEL) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                made = [payload_of(t) for t in part.column(1).to_pylist()]
-                media = [encode_png(p, level=level) for _, p in made]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+        for batch in sliced(batches):
+            made = [payload_of(t) for t in batch.column(1).to_pylist()]
+            media = [encode_png(p, level=level) for _, p in made]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return id_text(docs).mapInArrow(run, MEDIA_SCHEMA)
 
@@ -152,7 +150,7 @@ def media_features(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = hashlib.sha256
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[list] = [[] for _ in range(6)]
             for m in batch.column(2):
                 m = m.as_py()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, id_text, release, staged
+from .common import drop_path, id_text, release, sliced, staged
 
 LENGTH, GRAM, CORE = 200, 8, 51
 #: Bytes that are anchored at once; longer texts are cut with an overlap.
@@ -104,7 +104,7 @@ def anchor_table(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, before = xxhash.xxh3_64_intdigest, length - CORE
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             found = []
             for buf, cuts, which, begins in _segments(texts, length):
@@ -143,7 +143,7 @@ def suffix_table(docs: DataFrame, live: DataFrame, length: int = LENGTH) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = length - CORE
-        for batch in batches:
+        for batch in sliced(batches):
             heads = batch.column(3)
             counts = np.array([len(x) for x in heads])
             flat = heads.flatten()
@@ -252,7 +252,7 @@ def _count(suffixes: DataFrame, length: int) -> DataFrame:
     depth = length - CORE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             row, first, a, b = [], [], [], []
             for i, (place, t, left) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
                 for o in range(place >> 12 & 0xFFF, (place & 0xFFF) + 1):
@@ -393,7 +393,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, long_group: int = LONG
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[list] = [[] for _ in range(4)]
             for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data, left, n = without_runs(text, runs)
@@ -418,7 +418,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, long_group: int = LONG_GR
     joined = keyed.join(runs, F.col("vf_own_id").eqNullSafe(F.col("vf_id")) & (F.col("vf_own_th") == F.col("vf_th")), "left").select(*[F.col(f"`{c}`") for c in names], "vf_runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             columns = list(batch.columns[:-1])
             texts = [t if t is None or not r else without_runs(t, r)[1].decode("utf-8", "ignore") for t, r in zip(batch.column(text_at).to_pylist(), batch.columns[-1].to_pylist(), strict=True)]
             columns[text_at] = pa.array(texts, pa.string())

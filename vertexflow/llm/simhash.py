@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, id_text, staged
+from .common import drop_path, id_text, sliced, staged
 from .components import components
 
 BITS, BYTES, SEED = 64, 8, 42
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, th (hash of the text) and fp, the fingerprint as a signed long, of each row. Map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fp = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp)], ["doc_id", "th", "fp"])
 
@@ -105,7 +105,7 @@ def forest(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
 
 def _forests(lists: DataFrame, distance: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             a, b = [], []
             for fps in batch.column(0):
                 for x, y in forest(fps.values.to_numpy(zero_copy_only=False), distance):

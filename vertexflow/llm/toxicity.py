@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, id_text, ship, staged, table, words
+from .common import drop_path, id_text, ship, sliced, staged, table, words
 
 #: Byte lengths of the prefixes that a word's chain goes through, and the absolute discount.
 STEPS, DISCOUNT = (3, 5, 7, 9), 0.75
@@ -126,7 +126,7 @@ def _train_counts(rows: DataFrame) -> DataFrame:
                 c.clear()
             return out
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 here: Counter = Counter()
                 w = words(text)
@@ -154,7 +154,7 @@ def _corpus_counts(docs: DataFrame, kept: list[bytes]) -> dict[bytes, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n, chains = shared.value, Counter(), {}
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 here: set = set()
                 for x in set(words(text)):
@@ -288,7 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array([scorer.ratio(t) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], ["x", "y"])
 
     held = rows.where("part = 0").select("text", "y").mapInArrow(run, "x double, y int").toArrow()
@@ -314,7 +314,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             scores = [scorer.score(t) for t in batch.column(1).to_pylist()]
             out = [held_out(i) for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
@@ -329,7 +329,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([scorer.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
