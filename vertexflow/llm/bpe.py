@@ -15,10 +15,11 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import id_text, sliced
 from .pieces import PieceCache
 
 #: Memoised pair verdicts and prefixes per worker, and the length up to which pieces share their prefixes.
@@ -181,8 +182,8 @@ def _model(ranks_path: str, pattern: str) -> tuple[PrefixBPE, PieceCache]:
     if key not in _MODELS:
         bpe = PrefixBPE(load_ranks(ranks_path))
 
-        def encode(found):
-            return [array("I", bpe.encode(m.encode())).tobytes() for m in found]
+        def encode(match: str) -> bytes:
+            return array("I", bpe.encode(match.encode())).tobytes()
 
         _MODELS[key] = bpe, PieceCache(pattern, encode)
     return _MODELS[key]
@@ -194,7 +195,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def encode_text(text: str | None, ranks_path: str | None = None, pattern: str | None = None) -> list[int]:
     """The ids of one text; null and empty give none."""
     _, cache = _model(ranks_path or default_ranks_path(), pattern or default_pattern())
-    return array("I", b"".join(cache.values(text))).tolist() if text else []
+    return array("I", cache.encoded(text or "")).tolist()
 
 
 def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -211,20 +212,22 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
         bpe, cache = _model(ranks_path, pattern)
         sha, vocab = hashlib.sha256, bpe.tokens
         decimal = {i: str(i) for i in vocab}
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[list] = [[], [], []]
             all_ids = []
             for text in batch.column(1).to_pylist():
-                ids = array("I", b"".join(cache.values(text)) if text else b"").tolist()
+                data = cache.encoded(text or "")
+                if with_ids:
+                    all_ids.append(data)
+                ids = array("I", data).tolist()
                 rows[0].append(len(ids))
                 rows[1].append(sha(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
                 rows[2].append(sha(b"".join([vocab[i] for i in ids])).hexdigest())
-                if with_ids:
-                    all_ids.append(ids)
             columns = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                starts = pa.array(np.cumsum([0, *rows[0]]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(all_ids), np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import regex
 
 #: Entries per generation of a cache: when the young one is full it becomes the old one, so that memory is bounded and frequent matches stay.
-MAX_CACHED = 300_000
+MAX_CACHED = 800_000
 #: Letters and other characters for which the narrow form of a pattern matches the same as the full one.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 OTHERS = "\t\n\x0b\x0c\r -@[-`{-~"
@@ -20,35 +20,36 @@ def narrow(pattern: str) -> str | None:
     return None if r"\p" in out else out
 
 
+class Memo(dict):
+    """Values by match; a missing one is taken from the old generation or encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, match: str) -> bytes:
+        value = self.old.get(match)
+        if value is None:
+            value = self.encode(match)
+        if len(self) >= MAX_CACHED:
+            self.old = dict(self)
+            self.clear()
+        self[match] = value
+        return value
+
+
 class PieceCache:
-    """values(text) gives the value of each match, in order; their concatenation is the text's encoding."""
+    """encoded(text) is the concatenation of the values of the text's matches."""
 
-    def __init__(self, pattern: str, encode: Callable[[Sequence[str]], list]):
-        self.encode = encode
+    def __init__(self, pattern: str, encode: Callable[[str], bytes]):
+        self.memo = Memo(encode)
         self.full = regex.compile(pattern).findall
         small = narrow(pattern)
         self.narrow = re.compile(small).findall if small else None
         self.beyond = re.compile(f"[^{LETTERS}{OTHERS}]").search
-        self.young: dict[str, object] = {}
-        self.old: dict[str, object] = {}
 
     def matches(self, text: str) -> list[str]:
         return self.full(text) if self.narrow is None or self.beyond(text) else self.narrow(text)
 
-    def values(self, text: str) -> list:
-        found, known = self.matches(text), self.young
-        try:
-            return [known[m] for m in found]
-        except KeyError:
-            pass
-        if len(known) > MAX_CACHED:
-            known, self.old = {}, known
-            self.young = known
-        old, new = self.old, []
-        for m in dict.fromkeys(m for m in found if m not in known):
-            if m in old:
-                known[m] = old[m]
-            else:
-                new.append(m)
-        known.update(zip(new, self.encode(new), strict=True))
-        return [known[m] for m in found]
+    def encoded(self, text: str) -> bytes:
+        return b"".join(map(self.memo.__getitem__, self.matches(text)))

@@ -20,7 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, new_path, staged
+from .common import id_text, new_path, sliced, staged
 from .pieces import PieceCache
 
 MAGIC = b"VFPFOR01"
@@ -30,6 +30,8 @@ BLOCK = struct.Struct("<IBH")
 BLOCK_SIZE, PERCENTILE = 1024, 0.9
 #: A file is closed at this many ids, so that reading one takes bounded memory.
 FILE_IDS = 1_000_000
+#: Up to so many files their list goes to every reader.
+BROADCAST_FILES = 200_000
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -140,8 +142,8 @@ def _cache(tokenizer_path: str, pattern: str) -> PieceCache:
         tok = Tokenizer.from_file(tokenizer_path)
         tok.encode_special_tokens = True
 
-        def encode(found):
-            return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(list(found), add_special_tokens=False)]
+        def encode(match: str) -> bytes:
+            return array("I", tok.encode_batch_fast([match], add_special_tokens=False)[0].ids).tobytes()
 
         _CACHES[key] = PieceCache(pattern, encode)
     return _CACHES[key]
@@ -193,9 +195,9 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer_path:
             chunks.clear()
             return row
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = b"".join(cache.values(text)) if text else b""
+                data = cache.encoded(text or "")
                 chunks += [data, end]
                 doc_ids.append(doc_id)
                 counts.append(len(data) // 4 + 1)
@@ -224,8 +226,11 @@ SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 def read_token_files(path: str, files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
     spark = files.sparkSession
-    if files.isEmpty():
+    n_files = files.count()
+    if not n_files:
         return spark.createDataFrame([], SCHEMA)
+    if n_files <= BROADCAST_FILES:
+        files = F.broadcast(files)  # else the files' contents are dealt out again
     stored = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
