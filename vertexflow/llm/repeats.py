@@ -138,8 +138,8 @@ def _with_text(docs: DataFrame, per_doc: DataFrame, how: str) -> DataFrame:
 
 
 def suffix_table(docs: DataFrame, live: DataFrame, length: int = LENGTH) -> DataFrame:
-    """For each live anchor its row, the bytes from length - 51 before it to length after it, and how many are before."""
-    per_doc = live.groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "place")).alias("at"))
+    """For each live anchor (doc_id, th, h, place, long) also the bytes from length - 51 before it to length after it, and how many are before."""
+    per_doc = live.groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "place", "long")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = length - CORE
@@ -147,7 +147,7 @@ def suffix_table(docs: DataFrame, live: DataFrame, length: int = LENGTH) -> Data
             heads = batch.column(3)
             counts = np.array([len(x) for x in heads])
             flat = heads.flatten()
-            h, place = flat.field("h"), flat.field("place").to_numpy()
+            h, place, long = flat.field("h"), flat.field("place").to_numpy(), flat.field("long")
             row = np.repeat(np.arange(batch.num_rows), counts)
             at = (place >> 24).tolist()
             texts = [t.encode() for t in batch.column(1).to_pylist()]
@@ -156,10 +156,10 @@ def suffix_table(docs: DataFrame, live: DataFrame, length: int = LENGTH) -> Data
                 t = [texts[r][max(0, a - before) : a + length] for r, a in zip(row[some].tolist(), at[some], strict=True)]
                 left = np.minimum(place[some] >> 24, before)
                 take = pa.array(row[some])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), h[some], pa.array(place[some]), pa.array(t, pa.binary()), pa.array(left)], ["doc_id", "th", "h", "place", "t", "left"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), h[some], pa.array(place[some]), pa.array(t, pa.binary()), pa.array(left), long[some]], ["doc_id", "th", "h", "place", "t", "left", "long"])
 
     joined = _with_text(docs, per_doc, "inner").select("doc_id", "text", "th", "at")
-    return joined.mapInArrow(run, "doc_id long, th long, h long, place long, t binary, left long")
+    return joined.mapInArrow(run, "doc_id long, th long, h long, place long, t binary, left long, long boolean")
 
 
 def interleave(group: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,25 +337,27 @@ def covered_runs(docs: DataFrame, length: int = LENGTH, long_group: int = LONG_G
         long = F.broadcast(long) if n_long <= BROADCAST_ROWS else long
     told, told_path = staged(_classes(marks.join(long, "h", "left_anti") if n_long else marks, length), "classes")
     runs = told.where("kind = 0").select("doc_id", "th", F.col("x").alias("first"), F.col("y").alias("past"))
-    asked = told.where("kind = 1").select("doc_id", "th", F.col("x").alias("h"), F.col("y").alias("place"))
-    more = None
+    asked = told.where("kind = 1").select("doc_id", "th", F.col("x").alias("h"), F.col("y").alias("place"), F.lit(False).alias("long"))
     if n_long:  # the same in all tasks: classes by count, their strings one by one
-        hot, hot_path = staged(marks.join(long, "h", "left_semi"), "hot")
-        twice = hot.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("one"))
-        classes, _ = staged(twice, "twice")
+        hot, _ = staged(marks.join(long, "h", "left_semi"), "hot")
+        classes, _ = staged(hot.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("one")), "classes")
         at, lo, hi = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(0xFFF), F.col("place").bitwiseAND(0xFFF)
         equal = hot.join(classes.where("n > 1").select("h", "c"), ["h", "c"], "left_semi")
         runs = runs.unionByName(equal.select("doc_id", "th", (at - hi).alias("first"), (at - lo + length).alias("past")))
-        one = classes.select("h", "one.doc_id", "one.th", "one.place")
-        more, _ = staged(_count(suffix_table(docs, one, length), length), "strings")
+        asked = asked.unionByName(classes.select("one.doc_id", "one.th", "h", "one.place", F.lit(True).alias("long")))
     drop_path(spark, marks_path)
     del marks
     release(spark)
-    merged, _ = staged(_merge(suffix_table(docs, asked, length), length), "runs")
+    suffixes = suffix_table(docs, asked, length)
+    if n_long:
+        suffixes, suffixes_path = staged(suffixes, "suffixes")
+        more, _ = staged(_count(suffixes.where("long"), length), "runs")
+        runs = runs.unionByName(more)
+    merged, _ = staged(_merge(suffixes.where("not long"), length), "runs")
+    if n_long:
+        drop_path(spark, suffixes_path)
     release(spark)
     runs = runs.unionByName(merged)
-    if more is not None:
-        runs = runs.unionByName(more)
     return runs.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "past")).alias("runs"))
 
 
