@@ -34,22 +34,51 @@ FILE_IDS = 1_000_000
 BROADCAST_FILES = 200_000
 
 
+_BIT_LENGTH = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
-    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    """Bit lengths of unsigned 32-bit values."""
+    high = values >> np.uint32(16)
+    if not high.any():
+        return _BIT_LENGTH[values]
+    return np.where(high > 0, _BIT_LENGTH[high] + np.uint8(16), _BIT_LENGTH[values & np.uint32(0xFFFF)]).astype(np.uint8)
+
+
+def _lanes(width: int) -> list[tuple[int, int, int]]:
+    """Eight values of a width fill as many bytes; for each its place, its first byte and its first bit there."""
+    return [(j, j * width >> 3, j * width & 7) for j in range(8)]
 
 
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
-    """Each row of values below 2**width as its own byte string."""
-    bits = np.unpackbits(rows.astype(">u4").view(np.uint8).reshape(len(rows), -1, 4), axis=2) if width > 16 else np.unpackbits(rows.astype(">u2").view(np.uint8).reshape(len(rows), -1, 2), axis=2)
-    return np.packbits(bits[:, :, bits.shape[2] - width :].reshape(len(rows), -1), axis=1)
+    """Each row of values below 2**width as its own byte string, most significant bits first."""
+    n, count = rows.shape
+    wide, size = (np.uint32, 32) if width <= 25 else (np.uint64, 40)
+    padded = np.zeros((n, -(-count // 8) * 8), wide)
+    padded[:, :count] = rows
+    lanes = padded.reshape(n, -1, 8)
+    out = np.zeros((n, lanes.shape[1], width + 5), np.uint8)
+    for j, byte, bit in _lanes(width):
+        value = lanes[:, :, j] << wide(size - width - bit)
+        for k in range((bit + width + 7) // 8):
+            out[:, :, byte + k] |= (value >> wide(size - 8 - 8 * k)).astype(np.uint8)
+    return np.ascontiguousarray(out[:, :, :width]).reshape(n, -1)[:, : (width * count + 7) // 8]
 
 
 def _unpack(rows: np.ndarray, width: int, count: int) -> np.ndarray:
-    bits = np.unpackbits(rows, axis=1)[:, : width * count].reshape(len(rows), count, width)
-    size = 16 if width <= 16 else 32
-    full = np.zeros((len(rows), count, size), np.uint8)
-    full[:, :, size - width :] = bits
-    return np.packbits(full, axis=2).view(f">u{size // 8}").reshape(len(rows), count).astype(np.uint32)
+    n, groups = len(rows), -(-count // 8)
+    padded = np.zeros((n, groups * width), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    data = padded.reshape(n, groups, width)
+    out = np.empty((n, groups, 8), np.uint32)
+    wide = np.uint64 if width > 25 else np.uint32
+    for j, byte, bit in _lanes(width):
+        used = (bit + width + 7) // 8
+        value = data[:, :, byte].astype(wide)
+        for k in range(1, used):
+            value = value << wide(8) | data[:, :, byte + k]
+        out[:, :, j] = value >> wide(8 * used - width - bit) & wide((1 << width) - 1)
+    return out.reshape(n, -1)[:, :count]
 
 
 def pack_blocks(ids: np.ndarray, size: int = BLOCK_SIZE, percentile: float = PERCENTILE) -> list[bytes]:
