@@ -257,7 +257,7 @@ def test_bpe_equals_the_library(spark, tiktoken_encoding):
 def test_prefix_table_appends_and_edits(tiktoken_encoding):
     model = bpe.PrefixBPE(bpe.load_ranks(bpe.default_ranks_path()))
     rng = random.Random(7)
-    single = tiktoken_encoding.encode_single_piece
+    single = tiktoken_encoding._encode_single_piece
     for _ in range(60):
         data = bytes(rng.choice(b"abcdethinosr") for _ in range(rng.randint(1, 60)))
         assert model.encode(data) == single(data)
