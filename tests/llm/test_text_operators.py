@@ -184,6 +184,30 @@ def test_kneser_ney_steps_add_up():
     assert [toxicity.parent(e) for e in toxicity.chain(b"abcd")] == [b"", b"abc"] and toxicity.parent(b"ab\0") == b""
 
 
+def test_pairs_of_one_class_count():
+    """A pair that ordinary documents never have is evidence, though its words are as frequent in both classes."""
+    n, chains = (1000, 1000), {e: (50, 50) for w in (b"scum", b"of") for e in toxicity.chain(w)}
+    model = toxicity.build_model(chains, {(b"scum", b"of"): (18, 0)}, {}, n, {b"scum": (50, 50, 10, 40)})
+    assert model.pairs[(b"scum", b"of")] > 1 and abs(model.word(b"of")) < 1e-9
+    scorer = toxicity.Scorer(model)
+    assert scorer.ratio("scum of") > 0.5 > abs(scorer.ratio("of scum"))
+
+
+def test_pairs_of_ordinary_words(spark):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(800):
+        w = [rng.choice(["alpha", "beta", "gamma", "delta", "kappa"]) for _ in range(60)]
+        # Both classes have the two words equally often; only toxic ones have them in this order.
+        w[30:30] = ["omega", "sigma"] if i % 4 == 0 else ["sigma", "omega"]
+        rows.append((i, " ".join(w), "xx", "s", 0))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.train(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.pairs[(b"omega", b"sigma")] > 1 and model.pairs[(b"sigma", b"omega")] < -1
+    scorer = toxicity.Scorer(model)
+    assert all((scorer.score(t) >= 0.5) == bool(y) for (_, t, *_), (_, y) in zip(rows, labels, strict=True))
+
+
 def test_language(labelled):
     docs, _ = labelled
     model = langid.train(docs)

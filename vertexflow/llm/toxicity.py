@@ -147,6 +147,14 @@ def _train_counts(rows: DataFrame) -> DataFrame:
     return counted.groupBy("kind", "event").agg(*[F.sum(c).alias(c) for c in ("t", "o", "docs_t", "docs")])
 
 
+def _followers(counts: DataFrame, firsts: set[bytes]) -> Followers:
+    """For each first word the occurrences of the pairs that begin with it, and the distinct ones, by class."""
+    need = counts.sparkSession.createDataFrame([(v,) for v in firsts], "first binary")
+    first = F.substring_index(F.col("event").cast("string"), "\0\0", 1).cast("binary")
+    rows = counts.where("kind").withColumn("first", first).join(F.broadcast(need), "first").groupBy("first").agg(F.sum("t"), F.sum("o"), F.count_if(F.col("t") > 0), F.count_if(F.col("o") > 0))
+    return {r[0]: r[1:] for r in zip(*(c.to_pylist() for c in rows.toArrow().columns), strict=True)}
+
+
 def _corpus_counts(docs: DataFrame, kept: list[bytes]) -> dict[bytes, int]:
     """For each kept step the number of documents of the whole corpus that hold it."""
     spark = docs.sparkSession
@@ -183,10 +191,15 @@ def significance(in_t: int, in_o: int, n_t: int, n_o: int) -> float:
     return out
 
 
-def build_model(steps: dict[bytes, tuple[int, int]], pairs: dict[tuple[bytes, bytes], tuple[int, int]], contexts: dict[bytes, int], n_words: tuple[int, int]) -> Model:
+Followers = dict[bytes, tuple[int, int, int, int]]
+
+
+def build_model(steps: dict[bytes, tuple[int, int]], pairs: dict[tuple[bytes, bytes], tuple[int, int]], contexts: dict[bytes, int], n_words: tuple[int, int], followers: Followers | None = None) -> Model:
     """From counts (toxic, ordinary) of steps and pairs and the shared counts of contexts.
 
     What is left of a prefix's count besides its kept continuations counts as one rare one.
+    followers has, for the first words of pairs, the occurrences of all pairs that begin so and
+    the number of distinct ones (toxic, ordinary each); without it the given pairs are all.
     """
     d = DISCOUNT
     total: dict[bytes, list[float]] = {b"": list(n_words)}
@@ -204,7 +217,7 @@ def build_model(steps: dict[bytes, tuple[int, int]], pairs: dict[tuple[bytes, by
         h[0] += t
         h[1] += o
         below[p] += contexts.get(e, 0) + 1
-    llr, rest = {}, {}
+    llr, rest, logs = {}, {}, {}
     for p, h in held.items():
         for y in (0, 1):
             left = max(0.0, total[p][y] - h[y])
@@ -218,22 +231,23 @@ def build_model(steps: dict[bytes, tuple[int, int]], pairs: dict[tuple[bytes, by
         p = parent(e)
         low = (contexts.get(e, 0) + 1) / (below[p] + 1)
         prob = [(max(c - d, 0) + d * kinds[p][y] * low) / total[p][y] if total[p][y] else low for y, c in enumerate((t, o))]
-        llr[e] = math.log(max(prob[0], 1e-12) / max(prob[1], 1e-12))
+        logs[e] = [math.log(max(q, 1e-12)) for q in prob]
+        llr[e] = logs[e][0] - logs[e][1]
     model = Model(llr, rest, {})
-    # A pair falls back to its second word; only kept pairs move away from that, by their discounted share.
-    uni = {e[:-1]: c for e, c in steps.items() if e.endswith(b"\0")}
-    n_all = total[b""]
+    if followers is None:
+        followers = {}
+        for (v, _), c in pairs.items():
+            f = followers.get(v, (0, 0, 0, 0))
+            followers[v] = (f[0] + c[0], f[1] + c[1], f[2] + (c[0] > 0), f[3] + (c[1] > 0))
+    # A pair falls back to its second word, drawn by the class's chain; pairs that aren't kept are worth that word alone.
     for (v, w), c in pairs.items():
-        if v not in uni or w not in uni:
+        if any(e not in logs for e in chain(w)):
             continue
-        prob = []
+        times = []
         for y in (0, 1):
-            alone = (uni[w][y] + d) / (n_all[y] + 1)
-            n_v = uni[v][y]
-            prob.append((max(c[y] - d, 0) + d * alone * max(1, n_v) ** 0.5) / n_v / alone if n_v else 1.0)
-        delta = math.log(max(prob[0], 1e-6) / max(prob[1], 1e-6))
-        if c[0] >= MIN_PAIR_DOCS and c[1] >= MIN_PAIR_DOCS and abs(delta) > 0.5:
-            model.pairs[(v, w)] = delta
+            alone, n_v, k_v = math.exp(sum(logs[e][y] for e in chain(w))), followers[v][y], followers[v][2 + y]
+            times.append((max(c[y] - d, 0) / alone + d * k_v) / n_v if n_v else 1.0)
+        model.pairs[(v, w)] = math.log(times[0] / times[1])
     return model
 
 
@@ -281,9 +295,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
             kept.add(e)
     need = docs.sparkSession.createDataFrame([(e,) for e in kept], "event binary")
     steps = {r["event"]: (r["t"], r["o"]) for r in counts.where("not kind").join(F.broadcast(need), "event").toArrow().to_pylist()}
+    followers = _followers(counts, {v for v, _ in pairs})
     total = counts.where(f"not kind and octet_length(event) <= {STEPS[0] + 1} and (substring(event, -1, 1) = X'00' or octet_length(event) = {STEPS[0]})").agg(F.sum("t"), F.sum("o")).first()
     drop_path(docs.sparkSession, counts_path)
-    model = build_model(steps, pairs, _corpus_counts(docs, list(steps)), (total[0] or 0, total[1] or 0))
+    model = build_model(steps, pairs, _corpus_counts(docs, list(steps)), (total[0] or 0, total[1] or 0), followers)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
