@@ -208,6 +208,37 @@ def test_pairs_of_ordinary_words(spark):
     assert all((scorer.score(t) >= 0.5) == bool(y) for (_, t, *_), (_, y) in zip(rows, labels, strict=True))
 
 
+def test_contexts_of_all_expressions(spark, monkeypatch):
+    """Every step and pair of every document is counted, labelled or not, over several flushes too."""
+    rng = random.Random(13)
+    texts = [*ODD, *[random_text(rng, rng.randint(1, 200)) for _ in range(40)]]
+    want: dict = {}
+    for t in texts:
+        w = toxicity.words(t)
+        for key in {(False, toxicity.parent(e), e) for x in w for e in toxicity.chain(x)} | {(True, *p) for p in zip(w, w[1:], strict=False)}:
+            want[key] = want.get(key, 0) + 1
+    for small in (False, True):
+        if small:
+            monkeypatch.setattr(toxicity, "_FLUSH_PAIRS", 0)
+        got = toxicity.corpus_contexts(frame(spark, texts * (501 if small else 1))).collect()
+        assert {(r.kind, bytes(r.parent), bytes(r.event)): r.n for r in got} == {k: n * (501 if small else 1) for k, n in want.items()}
+
+
+def test_significance_comes_before_the_limit(labelled, monkeypatch):
+    """Frequent expressions that tell nothing don't use up the room of the model."""
+    monkeypatch.setattr(toxicity, "MAX_EVENTS", 8)
+    model = toxicity.train(*labelled)
+    assert {b"moron\0", b"idiot\0"} <= set(model.llr)
+
+
+def test_backoff_takes_unlabelled_documents(labelled):
+    """Documents without a label change what is shared by both classes, of words and of pairs."""
+    docs, labels = labelled
+    more = docs.sparkSession.createDataFrame([(5000 + i, "idiom idiom the of " * 3, "xx", "s", 0) for i in range(300)], DOCS)
+    one, two = toxicity.train(docs, labels), toxicity.train(docs.unionByName(more), labels)
+    assert one.llr.keys() == two.llr.keys() and one.llr[b"idiot\0"] != two.llr[b"idiot\0"]
+
+
 def test_language(labelled):
     docs, _ = labelled
     model = langid.train(docs)

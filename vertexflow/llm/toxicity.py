@@ -5,7 +5,8 @@ it; what is too rare there falls back to the word alone, which is drawn as a cha
 ever longer prefixes and its end, so that rare forms share the evidence of their
 stems. Every step subtracts an absolute discount and gives the mass to a lower
 distribution; the lowest is shared by both classes and counts contexts, namely the
-documents of the whole corpus that hold an expression. Steps and pairs whose share of the
+documents of the whole corpus that hold an expression, for every step and every pair of
+words of every document. Steps and pairs whose share of the
 classes' documents does not differ significantly are pruned. The score is a logistic function
 of the difference of the two log-likelihoods divided by the number of words.
 """
@@ -14,13 +15,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_path, id_text, ship, sliced, staged, table, words
@@ -36,6 +37,8 @@ SIGNIFICANT = 20.0
 FOLDS, CALIBRATION = 5, 4
 #: Words remembered by a scorer, and expressions counted before a task passes its sums on.
 _CACHE, _FLUSH = 100_000, 50_000
+#: Pairs of words (one for each document that has it) held before a task passes its sums on, and rows of a batch passed on.
+_FLUSH_PAIRS, _ROWS = 3_000_000, 20_000
 
 
 def chain(word: bytes) -> list[bytes]:
@@ -155,51 +158,107 @@ def _followers(counts: DataFrame, firsts: set[bytes]) -> Followers:
     return {r[0]: r[1:] for r in zip(*(c.to_pylist() for c in rows.toArrow().columns), strict=True)}
 
 
-def _corpus_counts(docs: DataFrame, kept: list[bytes]) -> dict[bytes, int]:
-    """For each kept step the number of documents of the whole corpus that hold it."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(set(kept))
+def corpus_contexts(docs: DataFrame) -> DataFrame:
+    """kind (0 step, 1 pair), parent (prefix or first word), event (step or second word) and n, the number of documents that hold it.
+
+    All expressions of all documents are counted, summed in each task first; the table grows with the corpus.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, n, chains = shared.value, Counter(), {}
+        ids: dict[bytes, int] = defaultdict()
+        steps: dict[bytes, int] = defaultdict()
+        ids.default_factory, steps.default_factory = ids.__len__, steps.__len__
+        chains = np.zeros((0, len(STEPS) + 1), np.int64)  # the numbers of each word's steps, the last one repeated
+        n = np.zeros(0, np.int64)
+        pairs: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal chains, n, held
+            known, found = pa.array(list(ids), pa.binary()), list(steps)
+            codes, times = np.unique(np.concatenate([*pairs, np.zeros(0, np.int64)]), return_counts=True)
+            parts = [(False, pa.array([parent(e) for e in found], pa.binary()), pa.array(found, pa.binary()), n)]
+            pairs.clear()
+            for at in range(0, len(codes), _ROWS):
+                some = codes[at : at + _ROWS]
+                parts.append((True, known.take(pa.array(some >> 32)), known.take(pa.array(some & 0xFFFFFFFF)), times[at : at + _ROWS]))
+            for kind, before, event, count in parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(event), kind)), before, event, pa.array(count.astype(np.int64))], ["kind", "parent", "event", "n"])
+            ids.clear()
+            steps.clear()
+            chains, n, held = chains[:0], n[:0], 0
+
         for batch in sliced(batches):
-            for text in batch.column(0).to_pylist():
-                here: set = set()
-                for x in set(words(text)):
-                    got = chains.get(x)
-                    if got is None:
-                        if len(chains) > _CACHE:
-                            chains.clear()
-                        got = chains[x] = [e for e in chain(x) if e in kept]
-                    here.update(got)
-                n.update(here)
-        yield pa.RecordBatch.from_pydict({"event": pa.array(list(n), pa.binary()), "n": pa.array(list(n.values()), pa.int64())})
-
-    rows = docs.select("text").where("text is not null").mapInArrow(run, "event binary, n long").groupBy("event").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
-
-
-def significance(in_t: int, in_o: int, n_t: int, n_o: int) -> float:
-    """Likelihood-ratio statistic of a two-by-two table: documents with and without, toxic and ordinary."""
-    total = n_t + n_o
-    out = 0.0
-    for got, size in ((in_t, n_t), (in_o, n_o)):
-        for here, overall in ((got, in_t + in_o), (size - got, total - in_t - in_o)):
-            expected = overall * size / total
-            if here > 0 and expected > 0:
-                out += 2 * here * math.log(here / expected)
+            rows = [np.fromiter(map(ids.__getitem__, w), np.int64, len(w)) for w in map(words, batch.column(0).to_pylist()) if w]
+            if not rows:
+                continue
+            new = [[steps[e] for e in chain(x)] for x in list(ids)[len(chains) :]]
+            if new:
+                chains = np.concatenate([chains, np.array([c + c[-1:] * (len(STEPS) + 1 - len(c)) for c in new])])
+            doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            one = np.unique(doc << 32 | np.concatenate(rows))
+            here = np.unique(((one >> 32)[:, None] << 32 | chains[one & 0xFFFFFFFF]).ravel()) & 0xFFFFFFFF
+            n = np.concatenate([n, np.zeros(len(steps) - len(n), np.int64)]) + np.bincount(here, minlength=len(steps))
+            for r in rows:
+                pairs.append(np.unique(r[:-1] << 32 | r[1:]))
+                held += len(pairs[-1])
+            if held > _FLUSH_PAIRS or len(ids) > _CACHE:
+                yield from flush()
+        yield from flush()
+
+    counted = docs.select("text").where("text is not null").mapInArrow(run, "kind boolean, parent binary, event binary, n long")
+    return counted.groupBy("kind", "parent", "event").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Contexts:
+    """What the model takes from the table of contexts: its own expressions, and sums over all that share their parent."""
+
+    steps: dict[bytes, int]
+    below: dict[bytes, int]  # of a prefix: contexts of all its continuations
+    pairs: dict[tuple[bytes, bytes], int]
+    firsts: dict[bytes, tuple[int, int]]  # of a first word: contexts of all its pairs, and their number
+
+
+def _contexts(docs: DataFrame, steps: Iterable[bytes], pairs: Iterable[tuple[bytes, bytes]]) -> Contexts:
+    own = [(False, parent(e), e) for e in steps] + [(True, v, w) for v, w in pairs]
+    wanted = docs.sparkSession.createDataFrame(own, "kind boolean, parent binary, event binary")
+    rows = corpus_contexts(docs).join(F.broadcast(wanted.select("kind", "parent").distinct()), ["kind", "parent"])
+    rows = rows.join(F.broadcast(wanted.withColumn("kept", F.lit(True))), ["kind", "parent", "event"], "left")
+    sums = rows.groupBy("kind", "parent").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.collect_list(F.when(F.col("kept"), F.struct("event", "n"))).alias("own"))
+    out = Contexts({}, {}, {}, {})
+    for r in sums.toArrow().to_pylist():
+        p, own = r["parent"], {x["event"]: x["n"] for x in r["own"]}
+        if r["kind"]:
+            out.firsts[p] = r["n"], r["kinds"]
+            out.pairs.update({(p, w): n for w, n in own.items()})
+        else:
+            out.below[p] = r["n"]
+            out.steps.update(own)
     return out
 
 
+def significance(n_t: int, n_o: int) -> Column:
+    """Likelihood-ratio statistic of the two-by-two table of an expression: documents with and without, toxic and ordinary."""
+
+    def weight(x: Column) -> Column:
+        return F.when(x > 0, x * F.log(x)).otherwise(0.0)
+
+    t, docs, all_t, all_o = F.col("docs_t"), F.col("docs"), F.lit(n_t), F.lit(n_o)
+    cells, sums = [t, docs - t, all_t - t, all_o - docs + t], [docs, all_t + all_o - docs, all_t, all_o]
+    return 2 * (sum(map(weight, cells), weight(all_t + all_o)) - sum(map(weight, sums), F.lit(0.0)))
+
+
 Followers = dict[bytes, tuple[int, int, int, int]]
 
 
-def build_model(steps: dict[bytes, tuple[int, int]], pairs: dict[tuple[bytes, bytes], tuple[int, int]], contexts: dict[bytes, int], n_words: tuple[int, int], followers: Followers | None = None) -> Model:
+def build_model(steps: dict[bytes, tuple[int, int]], pairs: dict[tuple[bytes, bytes], tuple[int, int]], contexts: dict[bytes, int], n_words: tuple[int, int], followers: Followers | None = None, corpus: Contexts | None = None) -> Model:
     """From counts (toxic, ordinary) of steps and pairs and the shared counts of contexts.
 
     What is left of a prefix's count besides its kept continuations counts as one rare one.
     followers has, for the first words of pairs, the occurrences of all pairs that begin so and
-    the number of distinct ones (toxic, ordinary each); without it the given pairs are all.
+    the number of distinct ones (toxic, ordinary each); without it the given pairs are all. corpus adds the contexts of pairs and the sums over
+    all expressions; without it the given contexts are all.
     """
     d = DISCOUNT
     total: dict[bytes, list[float]] = {b"": list(n_words)}
@@ -217,6 +276,10 @@ def build_model(steps: dict[bytes, tuple[int, int]], pairs: dict[tuple[bytes, by
         h[0] += t
         h[1] += o
         below[p] += contexts.get(e, 0) + 1
+    low = {e: corpus.steps[e] / corpus.below[parent(e)] if corpus else (contexts.get(e, 0) + 1) / (below[parent(e)] + 1) for e in steps}
+    known: dict[bytes, float] = Counter()
+    for e, share in low.items():
+        known[parent(e)] += share
     llr, rest, logs = {}, {}, {}
     for p, h in held.items():
         for y in (0, 1):
@@ -225,12 +288,11 @@ def build_model(steps: dict[bytes, tuple[int, int]], pairs: dict[tuple[bytes, by
             total[p][y] = max(total[p][y], h[y])
     for p in total:
         n, k = total[p], kinds.get(p, [1, 1])
-        open_ = [(d * k[y] + max(0.0, n[y] - held.get(p, [0, 0])[y] - d * (n[y] > held.get(p, [0, 0])[y]))) / n[y] if n[y] else 1.0 for y in (0, 1)]
+        open_ = [(d * k[y] * max(0.0, 1 - known[p]) + max(0.0, n[y] - held.get(p, [0, 0])[y] - d * (n[y] > held.get(p, [0, 0])[y]))) / n[y] if n[y] else 1.0 for y in (0, 1)]
         rest[p] = math.log(max(open_[0], 1e-9) / max(open_[1], 1e-9))
     for e, (t, o) in steps.items():
         p = parent(e)
-        low = (contexts.get(e, 0) + 1) / (below[p] + 1)
-        prob = [(max(c - d, 0) + d * kinds[p][y] * low) / total[p][y] if total[p][y] else low for y, c in enumerate((t, o))]
+        prob = [(max(c - d, 0) + d * kinds[p][y] * low[e]) / total[p][y] if total[p][y] else low[e] for y, c in enumerate((t, o))]
         logs[e] = [math.log(max(q, 1e-12)) for q in prob]
         llr[e] = logs[e][0] - logs[e][1]
     model = Model(llr, rest, {})
@@ -239,14 +301,18 @@ def build_model(steps: dict[bytes, tuple[int, int]], pairs: dict[tuple[bytes, by
         for (v, _), c in pairs.items():
             f = followers.get(v, (0, 0, 0, 0))
             followers[v] = (f[0] + c[0], f[1] + c[1], f[2] + (c[0] > 0), f[3] + (c[1] > 0))
-    # A pair falls back to its second word, drawn by the class's chain; pairs that aren't kept are worth that word alone.
+    # A pair falls back to its share of the corpus's contexts, and that to the second word, drawn by the class's chain; pairs that aren't kept are worth that word alone.
     for (v, w), c in pairs.items():
         if any(e not in logs for e in chain(w)):
             continue
         times = []
         for y in (0, 1):
             alone, n_v, k_v = math.exp(sum(logs[e][y] for e in chain(w))), followers[v][y], followers[v][2 + y]
-            times.append((max(c[y] - d, 0) / alone + d * k_v) / n_v if n_v else 1.0)
+            shared = 1.0
+            if corpus:
+                n_all, kinds_all = corpus.firsts[v]
+                shared = (max(corpus.pairs[(v, w)] - d, 0) / alone + d * kinds_all) / n_all
+            times.append((max(c[y] - d, 0) / alone + d * k_v * shared) / n_v if n_v else shared)
         model.pairs[(v, w)] = math.log(times[0] / times[1])
     return model
 
@@ -283,8 +349,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     most = F.col("docs").desc(), F.col("event")
 
     def told(where: str, limit: int) -> list[dict]:
-        found = counts.where(where).orderBy(*most).limit(limit).toArrow().to_pylist()
-        return [r for r in found if n_docs and significance(r["docs_t"], r["docs"] - r["docs_t"], n_t, n_docs - n_t) >= SIGNIFICANT]
+        return counts.where(where).where(significance(n_t, n_docs - n_t) >= SIGNIFICANT).orderBy(*most).limit(limit).toArrow().to_pylist()
 
     kept = {r["event"] for r in told(f"not kind and docs >= {MIN_DOCS}", MAX_EVENTS)}
     two = told(f"kind and docs >= {MIN_PAIR_DOCS}", MAX_PAIRS)
@@ -298,7 +363,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     followers = _followers(counts, {v for v, _ in pairs})
     total = counts.where(f"not kind and octet_length(event) <= {STEPS[0] + 1} and (substring(event, -1, 1) = X'00' or octet_length(event) = {STEPS[0]})").agg(F.sum("t"), F.sum("o")).first()
     drop_path(docs.sparkSession, counts_path)
-    model = build_model(steps, pairs, _corpus_counts(docs, list(steps)), (total[0] or 0, total[1] or 0), followers)
+    corpus = _contexts(docs, steps, pairs)
+    model = build_model(steps, pairs, corpus.steps, (total[0] or 0, total[1] or 0), followers, corpus)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
