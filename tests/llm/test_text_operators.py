@@ -289,6 +289,24 @@ def test_token_files(spark, file_ids):
     assert token_files.read_token_files(*token_files.write_token_files(docs.limit(0))).count() == 0
 
 
+def test_token_files_find_added_tokens(spark, tmp_path):
+    """The query equals the plain call of a tokenizer as loaded, also where a text holds an added token."""
+    from tokenizers import Tokenizer
+
+    from vertexflow.llm import registry
+
+    tok = Tokenizer.from_file(token_files._defaults(None, None)[0])
+    texts = [*ODD, "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext|", "  <|endoftext|>  \n"]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    want, at = [], 0
+    for i, t in enumerate(texts):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert 50256 in tok.encode("a <|endoftext|> b", add_special_tokens=False).ids
+    assert sorted(tuple(r) for r in registry.op7_token_files(spark, f"file://{tmp_path}").collect()) == want
+
+
 # 10 BPE
 
 

@@ -35,7 +35,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.read_token_files(*token_files.write_token_files(table(spark, sf_dir, "documents")))
+    return token_files.read_token_files(*token_files.write_token_files(table(spark, sf_dir, "documents"), added_tokens=True))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

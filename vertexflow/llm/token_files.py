@@ -12,7 +12,7 @@ from __future__ import annotations
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -156,12 +156,15 @@ def load_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [d if k else None for d, k in zip(doc_ids, known, strict=True)], counts, unpack_blocks(data, starts, n_ids, size)
 
 
-_CACHES: dict[tuple[str, str], PieceCache] = {}
+_CACHES: dict[tuple[str, str, bool], Callable[[str], bytes]] = {}
 
 
-def _cache(tokenizer_path: str, pattern: str) -> PieceCache:
-    """One per worker process. The library encodes each distinct match of its own pre-tokeniser's pattern once."""
-    key = (tokenizer_path, pattern)
+def _encoder(tokenizer_path: str, pattern: str, added_tokens: bool) -> Callable[[str], bytes]:
+    """One per worker process. The library encodes each distinct match of its own pre-tokeniser's pattern once.
+
+    With added_tokens a text that holds one of the tokenizer's added tokens is encoded whole by the library as loaded.
+    """
+    key = (tokenizer_path, pattern, added_tokens)
     if key not in _CACHES:
         import os
 
@@ -169,12 +172,15 @@ def _cache(tokenizer_path: str, pattern: str) -> PieceCache:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(tokenizer_path)
-        tok.encode_special_tokens = True
+        if not added_tokens:
+            tok.encode_special_tokens = True
 
         def encode(match: str) -> bytes:
             return array("I", tok.encode_batch_fast([match], add_special_tokens=False)[0].ids).tobytes()
 
-        _CACHES[key] = PieceCache(pattern, encode)
+        pieces = PieceCache(pattern, encode).encoded
+        added = [t.content for t in tok.get_added_tokens_decoder().values()] if added_tokens else []
+        _CACHES[key] = (lambda text: encode(text) if any(a in text for a in added) else pieces(text)) if added else pieces
     return _CACHES[key]
 
 
@@ -184,7 +190,7 @@ def _defaults(tokenizer_path: str | None, pattern: str | None) -> tuple[str, str
     return tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN
 
 
-def write_token_files(docs: DataFrame, path: str | None = None, tokenizer_path: str | None = None, pattern: str | None = None, end_id: int = 0, file_ids: int = FILE_IDS) -> tuple[str, DataFrame]:
+def write_token_files(docs: DataFrame, path: str | None = None, tokenizer_path: str | None = None, pattern: str | None = None, end_id: int = 0, file_ids: int = FILE_IDS, added_tokens: bool = False) -> tuple[str, DataFrame]:
     """Encodes all texts and writes their ids in ascending doc_id order.
 
     Returns the folder and a table of its files: name, start (number of ids in all files before
@@ -192,7 +198,8 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer_path:
     are in the order of their text's hash, equal rows are kept. A range exchange sorts the texts,
     so that a task writes a run of neighbouring documents; only a number per task comes to the
     driver. A file is written under a name of its own attempt, and the table lists those of the
-    attempts that succeeded.
+    attempts that succeeded. Added tokens of the tokenizer are found in texts with added_tokens,
+    as by the library's plain call, and are plain text without.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
@@ -204,7 +211,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer_path:
 
         from pyspark import TaskContext
 
-        cache, part = _cache(tokenizer_path, pattern), TaskContext.get().partitionId()
+        encoded, part = _encoder(tokenizer_path, pattern, added_tokens), TaskContext.get().partitionId()
         fs, folder = pafs.FileSystem.from_uri(path)
         doc_ids: list = []
         counts: list[int] = []
@@ -226,7 +233,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer_path:
 
         for batch in sliced(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = cache.encoded(text or "")
+                data = encoded(text or "")
                 chunks += [data, end]
                 doc_ids.append(doc_id)
                 counts.append(len(data) // 4 + 1)
