@@ -193,6 +193,18 @@ def test_sharding(spark):
     assert sharding.assign(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_sharding_swaps_between_closed_shards(spark):
+    """Every text occurs twice, so no shard has an unlinked row."""
+    out = sharding.assign(frame(spark, [(i, f"text {i // 2}") for i in range(1600)])).collect()
+    assert set(Counter(r["shard"] for r in out).values()) == {200}
+    by_text: dict = {}
+    for r in out:
+        by_text.setdefault((r.text_crc32, r.size), set()).add(r["shard"])
+    cut = sum(len(s) > 1 for s in by_text.values())
+    print("cut", cut, "of", len(by_text))
+    assert cut <= 0.2 * len(by_text)
+
+
 def test_quotas():
     allowed, back = sharding.quotas({(0, 1): 10, (1, 0): 4, (2, 1): 3}, [5, 6, 0])
     gain = Counter()

@@ -5,7 +5,9 @@ number. In each round a linked document wants to go to the shard that holds most
 group; how many may go is a quota by pair of shards, such that each shard can send as many
 unlinked documents back as it receives. So counts stay at most one apart throughout
 (the law ``rows``) and cut links only get fewer. A shard without unlinked
-documents left is closed, and its share of a large group stays.
+documents left is closed: it takes as many linked documents as leave it. Rounds in which all shards
+are goals take turns with rounds in which only open ones are; of equal shares an open shard's
+wins, then a hash's choice, so that closed shards have something to swap.
 """
 
 from __future__ import annotations
@@ -89,22 +91,29 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     old = [path]
     state, path = staged(state.withColumn("shard", (F.col("rid") % shards).cast("int")), "state")
     drop_path(spark, old.pop())
-    for _ in range(rounds):
+    idle = 0
+    for turn in range(rounds):
         free = [0] * shards
         for s, n in state.where("not linked").groupBy("shard").count().collect():
             free[s] = n
         open_ = [s for s in range(shards) if free[s]]
+        only_open = bool(open_) and turn % 2 == 1
         held = state.where("linked").groupBy(*group, "shard").agg(F.count("*").alias("c"))
-        best = held.where(F.col("shard").isin(open_)).groupBy(*group).agg(F.max(F.struct("c", (-F.col("shard")).alias("s"))).alias("b"))
-        best = best.select(*group, (-F.col("b.s")).alias("to"), F.col("b.c").alias("there"))
-        # A document moves to where most of its group is; out of a closed shard only if that is more than stays.
-        here = held.join(best, group).where((F.col("to") != F.col("shard")) & (F.col("shard").isin(open_) | (F.col("there") > F.col("c")))).select(*group, "shard", "to", (F.col("there") - F.col("c") + 1).alias("gain"))
+        goals = held.where(F.col("shard").isin(open_)) if only_open else held
+        best = goals.groupBy(*group).agg(F.max(F.struct("c", F.col("shard").isin(open_).alias("open"), F.xxhash64(*group, "shard", F.lit(turn)).alias("h"), "shard")).alias("b"))
+        best = best.select(*group, F.col("b.shard").alias("to"), F.col("b.c").alias("there"))
+        # A document moves to where most of its group is; out of a closed shard only if no more stays.
+        here = held.join(best, group).where((F.col("to") != F.col("shard")) & (F.col("shard").isin(open_) | (F.col("there") >= F.col("c")))).select(*group, "shard", "to", (F.col("there") - F.col("c") + 1).alias("gain"))
         movers, mover_path = numbered(state.where("linked").join(here, [*group, "shard"]).select("rid", "shard", "to", "gain").withColumn("last", -F.col("gain")), ["shard", "to"], ["last", "rid"], "movers")
         old.append(mover_path)
         wanted = {(a, b): n for a, b, n in movers.groupBy("shard", "to").count().collect()}
         allowed, back = quotas(wanted, free)
         if not allowed:
-            break
+            idle += 1
+            if idle == 2:  # neither kind of round has a move left
+                break
+            continue
+        idle = 0
         limits = spark.createDataFrame([(a, b, k) for (a, b), k in allowed.items()], "shard int, to int, k long")
         going = movers.join(F.broadcast(limits), ["shard", "to"]).where("number < k").select("rid", F.col("to").cast("int").alias("to"))
         if back:
