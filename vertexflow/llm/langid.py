@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, sliced
+from .common import id_text, ship, sliced
 
 BITS = 15
 SIZE = 1 << BITS
@@ -113,8 +113,8 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(min(np.geomspace(best * 0.9, best * 1.1, 41), key=loss))
 
 
-def _document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of documents with a text, and of those with each feature, over the whole table."""
+def _document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of rows, and of those with each feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(SIZE, np.int64), 0
@@ -125,14 +125,19 @@ def _document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
                 n += 1
         yield pa.RecordBatch.from_pydict({"f": pa.array(np.arange(SIZE + 1, dtype=np.int32)), "n": pa.array(np.append(df, n))})
 
-    found = docs.select("text").where("text is not null").mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.select("text").mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SIZE + 1, np.int64)
     out[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return int(out[SIZE]), out[:SIZE]
 
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Learns from text and lang of rows whose id's checksum leaves no zero; nulls are left out."""
+    """Learns from text and lang of rows whose id's checksum leaves no zero; nulls are left out.
+
+    Document frequencies are of all such rows, weights of at most max_train of them. Of rows with
+    an id in common all are used; of equal probabilities the first language by name wins.
+    """
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("text is not null and lang is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0)
     ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
@@ -143,7 +148,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
             found = [grams(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))], ["doc_id", "lang", "f", "c"])
 
-    n_docs, df = _document_frequencies(id_text(docs))
+    n_docs, df = _document_frequencies(rows)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
     sample = picked.mapInArrow(run, "doc_id long, lang string, f array<int>, c array<int>").toArrow()
     order = sorted(range(sample.num_rows), key=lambda i: (zlib.crc32(str(sample["doc_id"][i].as_py()).encode()), sample["lang"][i].as_py()))
@@ -182,4 +187,5 @@ def predict_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """Trains on docs and predicts each row: null texts and those without a letter are und; an empty table gives an empty one."""
     return predict_documents(docs, train(docs, max_train))
