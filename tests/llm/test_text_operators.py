@@ -1,11 +1,14 @@
 """Operators on single texts, against brute force, libraries and exact round trips."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vertexflow.llm import bpe, decontam, langid, licenses, media, pieces, token_files, toxicity
 
@@ -166,77 +169,116 @@ def test_toxicity(labelled):
     kept = toxicity.keep_clean(docs, model)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in out.items() if not r.predicted}
     # labels of held-out rows are not read
-    from pyspark.sql import functions as F
-
     flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = toxicity.train(docs, flipped)
-    assert (again.llr, again.slope, again.shift) == (model.llr, model.slope, model.shift)
+    assert (again.steps, again.slope, again.shift) == (model.steps, model.slope, model.shift)
     neutral = toxicity.train(docs, labels.limit(0))
     assert {r.score for r in toxicity.score_documents(docs, neutral).collect()} and toxicity.score_documents(docs.limit(0), model).count() == 0
 
 
-def test_kneser_ney_steps_add_up():
-    """The probabilities of a prefix's continuations, kept ones and the rest, sum to one in both classes."""
-    steps = {b"abc": (10, 40), b"abd": (5, 0), b"abcde": (6, 10), b"abc\0": (2, 20)}
-    model = toxicity.build_model(steps, {}, {b"abc": 9, b"abd": 1, b"abcde": 3, b"abc\0": 5}, (30, 100))
-    assert model.llr[b"abd"] > 1 > 0 > model.llr[b"abc\0"] and set(model.rest) >= {b"", b"abc", b"abd"}
-    assert toxicity.chain(b"abcdefghij") == [b"abc", b"abcde", b"abcdefg", b"abcdefghi", b"abcdefghij\0"]
-    assert [toxicity.parent(e) for e in toxicity.chain(b"abcd")] == [b"", b"abc"] and toxicity.parent(b"ab\0") == b""
-
-
-def test_pairs_of_one_class_count():
-    """A pair that ordinary documents never have is evidence, though its words are as frequent in both classes."""
-    n, chains = (1000, 1000), {e: (50, 50) for w in (b"scum", b"of") for e in toxicity.chain(w)}
-    model = toxicity.build_model(chains, {(b"scum", b"of"): (18, 0)}, {}, n, {b"scum": (50, 50, 10, 40)})
-    assert model.pairs[(b"scum", b"of")] > 1 and abs(model.word(b"of")) < 1e-9
-    scorer = toxicity.Scorer(model)
-    assert scorer.ratio("scum of") > 0.5 > abs(scorer.ratio("of scum"))
-
-
-def test_pairs_of_ordinary_words(spark):
+def brute_kneser_ney(corpus, fit, significant=toxicity.SIGNIFICANT):
+    """The models by plain loops over all words."""
+
+    def stat(t, n, all_t, all_n):
+        def weight(x):
+            return x * math.log(x) if x > 0 else 0.0
+
+        cells, sums = [t, n - t, all_t - t, all_n - n - all_t + t], [n, all_n - n, all_t, all_n - all_t]
+        return 2 * (sum(map(weight, cells), weight(all_n)) - sum(map(weight, sums)))
+
+    def steps_of(pairs):
+        return Counter(e for _, w in pairs for e in [b"", *toxicity.chain(w)])
+
+    docs, pairs, three = (Counter(), Counter()), (Counter(), Counter()), (set(), set())
+    for text, y in fit:
+        w = [b"", b"", *toxicity.words(text)]
+        docs[y].update({b"", *(e for x in w[2:] for e in toxicity.chain(x))})
+        pairs[y].update(zip(w[1:], w[2:], strict=False))
+        three[y].update(zip(w, w[1:], w[2:], strict=False))
+    n_docs = [sum(y == k for _, y in fit) for k in (0, 1)]
+    for k in (0, 1):
+        docs[k][b""] = n_docs[k]
+    steps = [steps_of(p) for p in pairs]
+    shared = steps_of({p for t in corpus if t for w in [toxicity.words(t)] for p in zip([b"", *w], w, strict=False)})
+    kept = {e for e in steps[0] | steps[1] if e and stat(docs[1][e], docs[0][e] + docs[1][e], docs[1][toxicity.parent(e)], sum(d[toxicity.parent(e)] for d in docs)) >= significant}
+    of_pair = [Counter(x[1:] for x in t) for t in three]
+    of_word = [Counter(x[2] for x in t) for t in three]
+    found = {p: (pairs[0][p], pairs[1][p]) for p in of_pair[0] | of_pair[1] if stat(of_pair[1][p], of_pair[0][p] + of_pair[1][p], of_word[1][p[1]], of_word[0][p[1]] + of_word[1][p[1]]) >= significant}
+    firsts = {v: tuple(f(c for (x, _), c in pairs[y].items() if x == v) for f in (sum, lambda z: len(list(z))) for y in (0, 1)) for v, _ in found}
+    kinds = {p: tuple(sum(toxicity.parent(e) == p for e in steps[y] if e) for y in (0, 1)) for p in {toxicity.parent(e) for e in shared if e}}
+    return toxicity.KneserNey({e: (steps[0][e], steps[1][e]) for e in steps[0] | steps[1]}, kinds, shared, kept, found, firsts)
+
+
+def test_kneser_ney_against_brute_force(spark):
+    """Spark's counts and model equal plain loops; each class's probabilities sum to one after every word."""
     rng = random.Random(12)
-    rows, labels = [], []
-    for i in range(800):
-        w = [rng.choice(["alpha", "beta", "gamma", "delta", "kappa"]) for _ in range(60)]
+    fit, more = [], []
+    for i in range(500):
+        w = [rng.choice(["alpha", "alphabet", "beta", "gamma", "delta", "kappa", "kap", "ñu"]) for _ in range(rng.randint(0, 60))]
         # Both classes have the two words equally often; only toxic ones have them in this order.
-        w[30:30] = ["omega", "sigma"] if i % 4 == 0 else ["sigma", "omega"]
-        rows.append((i, " ".join(w), "xx", "s", 0))
-        labels.append((i, int(i % 4 == 0)))
-    model = toxicity.train(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
-    assert model.pairs[(b"omega", b"sigma")] > 1 and model.pairs[(b"sigma", b"omega")] < -1
+        w[30:30] = (["omega", "sigma"] if i % 4 == 0 else ["sigma", "omega"]) + (["idiot" + rng.choice("sen")] if i % 8 == 0 else [])
+        fit.append((" ".join(w), int(i % 4 == 0)))
+    more = [*ODD, *[random_text(rng, rng.randint(1, 60)) for _ in range(40)], "idiom omega alp " * 20]
+    corpus = [t for t, _ in fit] + more
+    docs = frame(spark, corpus)
+    got = toxicity.kneser_ney(docs, spark.createDataFrame(fit, "text string, y int"))
+    want = brute_kneser_ney(corpus, fit)
+    assert got.kept == want.kept and got.pairs == want.pairs and got.firsts == want.firsts and {b"idi"} <= got.kept and (b"omega", b"sigma") in got.pairs
+    assert all(want.steps[e] == x for e, x in got.steps.items()) and all(want.kinds[p] == x for p, x in got.kinds.items()) and all(want.shared[e] == x for e, x in got.shared.items())
+    model, other = got.model(), want.model()
+    assert model.steps == pytest.approx(other.steps) and model.pairs == pytest.approx(other.pairs) and model.rest == pytest.approx(other.rest) and model.after == pytest.approx(other.after)
+    vocabulary = sorted({w for t in corpus for w in toxicity.words(t)})
+    for v in [b"", b"omega", b"sigma", b"alpha", b"never seen"]:
+        for y in (0, 1):
+            assert sum(want.probability(y, v, w) for w in vocabulary) == pytest.approx(1)
     scorer = toxicity.Scorer(model)
-    assert all((scorer.score(t) >= 0.5) == bool(y) for (_, t, *_), (_, y) in zip(rows, labels, strict=True))
+    for t in rng.sample(corpus, 60):
+        w = toxicity.words(t)
+        logs = [math.log(want.probability(1, *p) / want.probability(0, *p)) for p in zip([b"", *w], w, strict=False)]
+        assert scorer.ratio(t) == pytest.approx(sum(logs) / max(1, len(w)), abs=1e-9)
+    assert scorer.ratio("omega sigma") > 0.5 > scorer.ratio("sigma omega")
 
 
-def test_contexts_of_all_expressions(spark, monkeypatch):
-    """Every step and pair of every document is counted, labelled or not, over several flushes too."""
-    rng = random.Random(13)
-    texts = [*ODD, *[random_text(rng, rng.randint(1, 200)) for _ in range(40)]]
-    want: dict = {}
-    for t in texts:
-        w = toxicity.words(t)
-        for key in {(False, toxicity.parent(e), e) for x in w for e in toxicity.chain(x)} | {(True, *p) for p in zip(w, w[1:], strict=False)}:
-            want[key] = want.get(key, 0) + 1
-    for small in (False, True):
-        if small:
-            monkeypatch.setattr(toxicity, "_FLUSH_PAIRS", 0)
-        got = toxicity.corpus_contexts(frame(spark, texts * (501 if small else 1))).collect()
-        assert {(r.kind, bytes(r.parent), bytes(r.event)): r.n for r in got} == {k: n * (501 if small else 1) for k, n in want.items()}
+def test_chains():
+    assert toxicity.chain(b"abcdefghij") == [b"abc", b"abcde", b"abcdefg", b"abcdefghi", b"abcdefghij\0"]
+    assert [toxicity.parent(e) for e in toxicity.chain(b"abcd")] == [b"", b"abc"] and toxicity.parent(b"ab\0") == b""
 
 
-def test_significance_comes_before_the_limit(labelled, monkeypatch):
-    """Frequent expressions that tell nothing don't use up the room of the model."""
-    monkeypatch.setattr(toxicity, "MAX_EVENTS", 8)
-    model = toxicity.train(*labelled)
-    assert {b"moron\0", b"idiot\0"} <= set(model.llr)
+@pytest.mark.parametrize(("flush", "hot"), [(2_500_000, []), (1, []), (1, [b"the", b"of", b"never"]), (100, [b"the"])])
+def test_contexts_of_all_documents(spark, flush, hot):
+    """Distinct histories of every word of every document, over several flushes and split words, too; copies change nothing."""
+    rng = random.Random(13)
+    texts = [*ODD, *[random_text(rng, rng.randint(1, 200)) + " the of the" for _ in range(40)]] * 3
+    want = Counter(w for _, w in {p for t in texts if t for w in [toxicity.words(t)] for p in zip([b"", *w], w, strict=False)})
+    rows = toxicity.corpus_contexts(frame(spark, texts), [toxicity.word_hash(w) for w in hot], flush).collect()
+    got: Counter = Counter()
+    for r in rows:
+        got[bytes(r.word)] += r.n
+    assert got == want and (len(rows) > len(got)) == bool(hot)
 
 
 def test_backoff_takes_unlabelled_documents(labelled):
-    """Documents without a label change what is shared by both classes, of words and of pairs."""
+    """Documents without a label change what is shared by both classes; repeated rows don't."""
     docs, labels = labelled
-    more = docs.sparkSession.createDataFrame([(5000 + i, "idiom idiom the of " * 3, "xx", "s", 0) for i in range(300)], DOCS)
+    more = docs.sparkSession.createDataFrame([(5000 + i, f"idiom{i} the{i} idiot of " * 3, "xx", "s", 0) for i in range(300)], DOCS)
     one, two = toxicity.train(docs, labels), toxicity.train(docs.unionByName(more), labels)
-    assert one.llr.keys() == two.llr.keys() and one.llr[b"idiot\0"] != two.llr[b"idiot\0"]
+    assert one.steps.keys() == two.steps.keys() and one.steps[b"idi"] != two.steps[b"idi"]
+
+
+def test_toxicity_edges(labelled):
+    """Repeated ids and rows, very long texts, ties, extra columns of clashing names, one class only."""
+    docs, labels = labelled
+    spark = docs.sparkSession
+    odd = spark.createDataFrame([(2000, "the of " * 200_000 + "idiot", None, None, None), (1, "the of", None, None, None), (1, "the of", None, None, None)], DOCS)
+    extra = docs.unionByName(odd)
+    for c in ("y", "part", "word", "score", "up", "n"):
+        extra = extra.withColumn(c, F.lit("x"))
+    model = toxicity.train(extra, labels.withColumn("text", F.lit("x")).unionByName(labels.limit(9).withColumn("text", F.lit(None).cast("string"))))
+    out = toxicity.score_documents(extra, model).collect()
+    assert len(out) == 607 and len({r.score for r in out if r.doc_id == 1}) <= 2
+    assert toxicity.keep_clean(extra, model).columns == extra.columns
+    single = toxicity.train(docs, labels.withColumn("toxic", F.lit(0)))
+    assert {r.predicted for r in toxicity.score_documents(docs, single).collect()} == {0}
 
 
 def test_language(labelled):
@@ -253,6 +295,28 @@ def test_language(labelled):
     assert counts.sum() == len(text) + len(text) - 1 + len(text) - 2
 
 
+def test_language_learns_from_training_rows_only(labelled):
+    """Texts and languages of held-out rows, and texts without a language, don't change the model."""
+    docs, _ = labelled
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = langid.train(docs)
+    again = langid.train(docs.withColumn("text", F.when(out, "quite other words").otherwise(F.col("text"))).withColumn("lang", F.when(out, "zz").otherwise(F.col("lang"))).unionByName(docs.sparkSession.createDataFrame([(7001 + i, "zzz qqq", None, None, None) for i in range(50)], DOCS)))
+    assert again.langs == model.langs and np.array_equal(again.idf, model.idf) and np.array_equal(again.weights, model.weights) and again.temperature == model.temperature
+
+
+def test_language_edges(labelled):
+    """Repeated rows and ids, a very long text, one language only, extra columns of clashing names."""
+    docs, _ = labelled
+    odd = docs.sparkSession.createDataFrame([(3000, "wh the " * 200_000, "xx", None, None), (1, "the of", "xx", None, None), (1, "the of", "xx", None, None)], DOCS)
+    more = docs.unionByName(odd)
+    for c in ("f", "n", "c", "score", "lang_pred"):
+        more = more.withColumn(c, F.lit("x"))
+    rows = langid.identify(more).collect()
+    assert len(rows) == docs.count() + 3 and [r.lang_pred for r in rows if r.doc_id == 3000] == ["xx"] and len({(r.lang_pred, r.score) for r in rows if r.doc_id == 1 and r.score < 1}) <= 1
+    single = langid.identify(docs.withColumn("lang", F.lit("xx"))).collect()
+    assert {r.lang_pred for r in single} == {"xx", "und"}
+
+
 # 7 token files
 
 

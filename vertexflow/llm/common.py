@@ -99,11 +99,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark's setting to drop a query's shuffle files when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes a table to the shared folder and rereads it: cuts lineage, is computed once, survives lost executors."""
+    """Writes a table to the shared folder and rereads it: cuts lineage, is computed once, survives lost executors.
+
+    The shuffle files of the written query go with its end, as nothing reads them any more.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
