@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vertexflow.llm import components, decontam, repeats, sharding, simhash, toxicity
@@ -71,6 +72,23 @@ def test_repeats(spark, monkeypatch, long_group, buffer, seed):
     assert got == sorted(((i, *x) for (i, _), x in zip(rows, brute_repeats([t for _, t in rows]), strict=True)), key=repr)
 
 
+def test_repeats_of_texts_longer_than_a_buffer(spark):
+    """A passage across the cut of two texts of 2.1 MB is found as a whole, and nothing else goes."""
+    rng = np.random.default_rng(9)
+    own = ["".join(map(chr, rng.integers(97, 123, 2_100_000))) for _ in range(2)]
+    passage = "".join(map(chr, rng.integers(97, 123, 700)))
+    at = [repeats.BUFFER - 300, repeats.BUFFER - 650]
+    texts = [t[:a] + passage + t[a:] for t, a in zip(own, at, strict=True)]
+    out = {r.doc_id: r for r in repeats.remove_repeats(frame(spark, [(1, texts[0]), (2, texts[1]), (3, passage[:199])])).collect()}
+    for i in (1, 2):
+        # bytes next to the passage may continue it by chance
+        t, a = own[i - 1], at[i - 1]
+        extra = out[i].n_removed - 700
+        assert out[i].n_spans == 1 and 0 <= extra <= 4
+        assert out[i].kept_sha256 in {hashlib.sha256((t[: a - k] + t[a + extra - k :]).encode()).hexdigest() for k in range(extra + 1)}
+    assert out[3].n_removed == 0
+
+
 def _anchor_rows(texts, length=200):
     """(text, place, offset) of every string, through the segments."""
     out = set()
@@ -87,8 +105,10 @@ def test_repeats_edges(spark):
     docs = frame(spark, [(1, "ab" * 150), (2, "y " + "ab" * 150), (3, None), (4, "plain")])
     kept = {r.doc_id: (r.text, r.n_chars) for r in repeats.deduplicate(docs).collect()}
     assert kept == {1: ("", 0), 2: ("y ", 2), 3: (None, None), 4: ("plain", 5)}
-    clash = docs.withColumnsRenamed({"lang": "runs", "source": "th"})
-    assert repeats.deduplicate(clash).columns == clash.columns and repeats.deduplicate(clash).count() == 4
+    for names in ({"lang": "runs", "source": "th"}, {"lang": "row", "source": "id"}, {"lang": "run_id", "source": "run_th"}, {"lang": "vf_id", "source": "vf_own_id"}):
+        clash = docs.withColumnsRenamed(names)
+        found = repeats.deduplicate(clash)
+        assert found.columns == clash.columns and {r.doc_id: (r.text, r[3], r[2]) for r in found.collect()} == {i: (t, "s", "en") for i, (t, _) in kept.items()}
     with pytest.raises(ValueError):
         repeats.covered_runs(docs, 50)
 
@@ -170,6 +190,32 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
+def test_components_of_a_hub(spark, monkeypatch):
+    """A hub's links meet the least node in their own tasks; results are the same."""
+    from vertexflow.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HEAVY", 3)
+    pairs = [(500, i) for i in range(400, 450)] + [(450 + i, 451 + i) for i in range(20)] + [(7, 500), (90, 91)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**{i: 7 for i in [7, 500, *range(400, 450)]}, **{450 + i: 450 for i in range(21)}, 90: 90, 91: 90}
+
+
+def test_keep_one_with_clashing_columns(spark, monkeypatch):
+    from vertexflow.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HEAVY", 3)
+    rows = [(i, "the same long text of copies" if i % 2 else f"quite another text number {i} {i * i} {i + 7}") for i in range(40)] + [(3, "the same long text of copies"), (2, "w " * 100_000 + "end")]
+    docs = frame(spark, rows)
+    want = sorted(simhash.keep_one(docs).select("doc_id", "text").collect())
+    assert [r.doc_id for r in want if r.text.startswith("the same")] == [1]
+    for names in (("fp", "th"), ("id", "row"), ("kept_id", "kept_th"), ("vf_id", "vf_own_id"), ("group", "m")):
+        clash = docs.withColumnsRenamed(dict(zip(("lang", "source"), names, strict=True)))
+        out = simhash.keep_one(clash)
+        assert out.columns == clash.columns and sorted(out.select("doc_id", "text").collect()) == want
+    near = simhash.near_duplicates(docs).collect()
+    assert len(near) == len(rows) and {r.component_id for r in near if r.doc_id % 2} == {1}
+
+
 # 9 sharding
 
 
@@ -205,16 +251,60 @@ def test_sharding_swaps_between_closed_shards(spark):
     assert cut <= 0.2 * len(by_text)
 
 
+def cuts(out):
+    by_text: dict = {}
+    for r in out:
+        by_text.setdefault((r.text_crc32, r.size), set()).add(r["shard"])
+    return sum(len(s) - 1 for s in by_text.values())
+
+
+def greedy_cut(sizes, shards=8):
+    """Groups, the largest first, into the emptiest shards of equal room."""
+    room, cut = [-(-sum(sizes) // shards)] * shards, 0
+    for n in sorted(sizes, reverse=True):
+        parts = 0
+        while n:
+            s = max(range(shards), key=lambda i: room[i])
+            k = min(n, room[s])
+            room[s] -= k
+            n -= k
+            parts += 1
+        cut += parts - 1
+    return cut
+
+
+def test_sharding_of_a_hot_group_when_all_are_linked(spark, monkeypatch):
+    """One text half of all rows, the others about 31 times each, no unlinked row."""
+    from vertexflow.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HEAVY", 10)
+    sizes = [400] + [31] * 12 + [28]
+    rows = [f"text {g}" for g, n in enumerate(sizes) for _ in range(n)]
+    random.Random(3).shuffle(rows)
+    docs = frame(spark, list(enumerate(rows)))
+    for c in ("g", "shard", "linked", "rid", "n", "to"):
+        docs = docs.withColumn(c, F.lit("x"))
+    out = sharding.assign(docs).collect()
+    assert set(Counter(r["shard"] for r in out).values()) == {100}
+    print("cut", cuts(out), "greedy", greedy_cut(sizes))
+    assert cuts(out) == sharding.cut_links(spark.createDataFrame([(r.text_crc32, r.size, r["shard"]) for r in out], "text_crc32 long, size long, shard int")) <= 2 * greedy_cut(sizes)
+
+
 def test_quotas():
-    allowed, back = sharding.quotas({(0, 1): 10, (1, 0): 4, (2, 1): 3}, [5, 6, 0])
-    gain = Counter()
+    wanted, spare = {(0, 1): 10, (1, 0): 4, (2, 1): 3, (1, 2): 5}, [5, 6, 5]
+    allowed, back = sharding.quotas(wanted, spare)
+    gain, leave = Counter(), Counter()
     for (a, b), k in allowed.items():
         gain[a] -= k
         gain[b] += k
+        leave[a] += k
+        assert 0 < k <= wanted[a, b]
     for a, b, k in back:
         gain[a] -= k
         gain[b] += k
-    assert not any(gain.values()) and sum(k for a, _, k in back if a == 1) <= 6 and allowed
+        leave[a] += k
+    assert not any(gain.values()) and all(leave[s] <= max(spare[s], sum(k for (a, _), k in allowed.items() if a == s)) for s in range(3))
+    assert all(sum(k for (_, b), k in allowed.items() if b == s) <= spare[s] for s in range(3)) and sum(allowed.values()) == 4 + 6 + 5
 
 
 # The pipeline

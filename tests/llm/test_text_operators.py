@@ -63,12 +63,30 @@ def test_decontamination(spark, pass_bytes):
 
 
 def test_wu_manber_moves_on():
-    m = decontam.WuManber({tuple(b"a b c d".split()): 1, tuple(b"c d c d".split()): 2, tuple(b"x c d y".split()): 3})
+    m = decontam.WuManber(4, b"a b c d c d x c d y".split(), [0, 2, 6], [1, 2, 3])
     text = b"q q a b c d c d c d y x c d y".split()
     want = [(i, v) for i in range(len(text) - 3) for p, v in ((b"a b c d", 1), (b"c d c d", 2), (b"x c d y", 3)) if text[i : i + 4] == p.split()]
     assert list(m.search(text)) == want and m.shift.get((b"q", b"q"), m.default) == 3
 
 
+def test_decontamination_edges(spark, monkeypatch):
+    """A long item in segments, a very long text, items of one id, a null id, extra columns of clashing names."""
+    rng = random.Random(6)
+    long = " ".join(rng.choice("abcdefghijkl") + str(rng.randint(0, 99)) for _ in range(400))
+    items = [(1, long), (2, "one two three"), (2, "four five"), (None, "six seven"), (3, "a0 " * 30)]
+    w = long.split()
+    texts = [" ".join(w[i : i + 12]) for i in (0, 95, 388)] + ["x " * 100_000 + "one TWO three " + long, "four one two five", "six seven four five", "a0 " * 11]
+    monkeypatch.setattr(decontam, "SEGMENT", 50)
+    docs = frame(spark, texts)
+    for c in ("h", "n", "hits", "items", "copies", "pass"):
+        docs = docs.withColumn(c, F.lit("x"))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("pass", F.lit("x"))
+    for pass_bytes in (3_000_000, 200):
+        got = sorted(tuple(r) for r in decontam.contamination(docs, bench, pass_bytes=pass_bytes).collect())
+        assert got == [(i, *brute_decontamination(t, [x for x in items if x[0]])) for i, t in enumerate(texts)]
+        assert decontam.drop_contaminated(docs, bench, pass_bytes=pass_bytes).columns == docs.columns
+
+
 # 2 licenses
 
 

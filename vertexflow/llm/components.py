@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, staged
+from .common import drop_path, heavy_keys, join_keyed, staged
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """For each u the least of itself and its neighbours; summed in each task first, so hubs don't matter."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _with_least(pairs: DataFrame) -> tuple[DataFrame, str]:
+    """Adds m, the least of u and its neighbours. A hub's links are summed in their tasks and meet the minimum there, too."""
+    least, path = staged(pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "least")
+    return join_keyed(pairs, least.drop("n"), ["u"], heavy_keys(least, ["u"])), path
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,14 +26,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs, path = staged(pairs, "links")
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.join(_least(large), "u")
+        large, one = _with_least(both)
+        large, two = staged(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "links")
+        small, three = _with_least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new, new_path = staged(small, "links")
         # Every node below exactly one other that is itself below none: stars around roots.
         tops = new.select("v").distinct().withColumnRenamed("v", "u")
         open_ = new.join(tops, "u", "left_semi").limit(1).count() or new.groupBy("u").count().where("count > 1").limit(1).count()
-        drop_path(spark, path)
+        for p in (path, one, two, three):
+            drop_path(spark, p)
         pairs, path = new, new_path
         if not open_:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, id_text, release, sliced, staged
+from .common import drop_path, free_name, id_text, packed, sliced, staged
 
 LENGTH, GRAM, CORE = 200, 8, 51
 #: Bytes that are anchored at once; longer texts are cut with an overlap.
@@ -346,8 +346,6 @@ def covered_runs(docs: DataFrame, length: int = LENGTH, long_group: int = LONG_G
         runs = runs.unionByName(equal.select("doc_id", "th", (at - hi).alias("first"), (at - lo + length).alias("past")))
         asked = asked.unionByName(classes.select("one.doc_id", "one.th", "h", "one.place", F.lit(True).alias("long")))
     drop_path(spark, marks_path)
-    del marks
-    release(spark)
     suffixes = suffix_table(docs, asked, length)
     if n_long:
         suffixes, suffixes_path = staged(suffixes, "suffixes")
@@ -356,7 +354,6 @@ def covered_runs(docs: DataFrame, length: int = LENGTH, long_group: int = LONG_G
     merged, _ = staged(_merge(suffixes.where("not long"), length), "runs")
     if n_long:
         drop_path(spark, suffixes_path)
-    release(spark)
     runs = runs.unionByName(merged)
     return runs.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "past")).alias("runs"))
 
@@ -411,13 +408,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, long_group: int = LONG
 def deduplicate(docs: DataFrame, length: int = LENGTH, long_group: int = LONG_GROUP) -> DataFrame:
     """The rows of docs with such bytes removed from text; n_chars, if there, is counted anew.
 
-    A character that lost some of its bytes goes whole. Null texts stay null.
+    A character that lost some of its bytes goes whole. Null texts stay null; repeated rows and
+    ids, and null ids, are rows of their own; extra columns may have any name.
     """
-    runs = covered_runs(docs, length, long_group).withColumnsRenamed({"doc_id": "vf_id", "th": "vf_th", "runs": "vf_runs"})
+    runs = covered_runs(docs, length, long_group).withColumnsRenamed({"doc_id": "run_id", "th": "run_th"})
     names = docs.columns
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-    keyed = docs.withColumn("vf_own_id", F.col("doc_id").cast("long")).withColumn("vf_own_th", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(runs, F.col("vf_own_id").eqNullSafe(F.col("vf_id")) & (F.col("vf_own_th") == F.col("vf_th")), "left").select(*[F.col(f"`{c}`") for c in names], "vf_runs")
+    keyed, found = packed(docs), free_name("runs", names)
+    joined = keyed.join(runs, F.col("id").eqNullSafe(F.col("run_id")) & (F.col("th") == F.col("run_th")), "left").select("row", F.col("runs").alias(found)).select("row.*", F.col(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):

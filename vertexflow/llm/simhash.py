@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, id_text, sliced, staged
+from .common import drop_path, heavy_keys, id_text, join_keyed, packed, sliced, staged
 from .components import components
 
 BITS, BYTES, SEED = 64, 8, 42
@@ -135,15 +135,15 @@ def links(fps: DataFrame, distance: int = DISTANCE, long_list: int = LONG_LIST)
 
 
 def _grouped(docs: DataFrame, size: int, distance: int, long_list: int) -> tuple[DataFrame, DataFrame]:
-    """The rows with their fingerprints, and of each fingerprint its group (a fingerprint) and the group's least doc_id."""
+    """The rows with their fingerprints, and of each fingerprint its number of rows, group (a fingerprint) and the group's least doc_id."""
     rows, _ = staged(fingerprints(docs, size), "fingerprints")
-    each, _ = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
+    each, _ = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fps")
     found = components(links(each.select("fp"), distance, long_list))
     of = found.join(each, found["node"] == each["fp"]).select("node", "root", "least")
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     of = of.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
-    ids = each.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
-    return rows, ids
+    ids = each.join(of, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
+    return rows, staged(ids, "groups")[0]
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE, long_list: int = LONG_LIST) -> DataFrame:
@@ -154,17 +154,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
     component of null ids alone has a null one. Texts of any length are read whole.
     """
     rows, ids = _grouped(docs, size, distance, long_list)
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = join_keyed(rows.select("doc_id", "fp"), ids.drop("n"), ["fp"], heavy_keys(ids, ["fp"]))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE, long_list: int = LONG_LIST) -> DataFrame:
-    """The rows of docs, with all their columns, that have the least id of their group; of groups without ids, one row."""
+    """The rows of docs, with all their columns, that have the least id of their group; of groups without ids, one row.
+
+    Null, empty and blank texts are one group. Of rows with the least id in common the one of
+    least text hash stays, repeated rows are one document; extra columns may have any name.
+    """
     rows, ids = _grouped(docs, size, distance, long_list)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m")
     by_fp = rows.groupBy("fp").agg(first).join(ids.select("fp", "group"), "fp")
-    kept = by_fp.groupBy("group").agg(F.min("m").alias("m")).select(F.col("m.doc_id").alias("vf_id"), F.col("m.th").alias("vf_th"))
-    keyed = docs.withColumn("vf_own_id", F.col("doc_id").cast("long")).withColumn("vf_own_th", F.xxhash64(F.col("text").cast("string")))
-    out = keyed.join(kept, F.col("vf_own_id").eqNullSafe(F.col("vf_id")) & (F.col("vf_own_th") == F.col("vf_th")), "left_semi")
+    kept = by_fp.groupBy("group").agg(F.min("m").alias("m")).select(F.col("m.doc_id").alias("kept_id"), F.col("m.th").alias("kept_th"))
+    keyed = packed(docs)
+    out = keyed.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th")), "left_semi")
     if not rows.groupBy("doc_id", "th").count().where("count > 1").isEmpty():  # repeated rows are one document
-        out = out.dropDuplicates(["vf_own_id", "vf_own_th"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.dropDuplicates(["id", "th"])
+    return out.select("row.*")

@@ -37,7 +37,7 @@ MAX_TRAIN = 20_000
 SIGNIFICANT = 15.0
 FOLDS, CALIBRATION = 5, 4
 #: Words remembered by a scorer, and words (with their repeats) held before a task passes its counts on.
-_CACHE, _FLUSH = 100_000, 2_500_000
+_CACHE, _FLUSH = 100_000, 1_200_000
 #: A word with this share of all words has its histories dealt to many tasks.
 HOT_SHARE = 0.001
 _CONTEXT = "bucket int, words binary, counts binary, histories binary"
