@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -100,9 +101,23 @@ def test_licenses_base(spark):
         assert 0 <= row.score <= 1
 
 
-def test_templates():
-    import re
+def test_whole_licences(spark):
+    """A full-text label needs the warranty wording; optional parts may be left out, mandatory words may not differ."""
+    def plain(template, keep):
+        template = re.sub(r"<<optional>>(.*?)<</optional>>", r"\1" if keep else "", template)
+        return re.sub(r"<<var;words=(\d+)-\d+>>", lambda m: "some " * max(1, int(m[1])), template)
+
+    texts, want = [], []
+    for label in ("mit", "bsd", "isc"):
+        for keep in (True, False):
+            whole = plain(licenses.TEMPLATES[f"full-{label}"], keep)
+            texts += ["Head 2020.\n" + whole.upper() + " tail", whole.rsplit(" ", 3)[0], re.sub("(?i)in no event", "in any event", whole), plain(licenses.TEMPLATES[f"text-{label}"], keep)]
+            want += [{f"text-{label}", f"full-{label}"}] + [{f"text-{label}"}] * 3
+    rows = licenses.scan_licenses(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [{x for x in r.labels.split(",") if x[:5] in ("text-", "full-")} for r in rows] == want and {r.score for r in rows} == {1.0}
 
+
+def test_templates():
     a = licenses.Automaton("keep <<optional>>the <<optional>>big<</optional>> one<</optional>> and <<var;words=1-3>> end")
     for text, ok in {"keep and x end": 1, "keep the one and x y z end": 1, "keep the big one and x end": 1, "keep big and x end": 0, "keep and end": 0, "keep and a b c d end": 0, "keep the and x end": 0, "keep and and and end end": 1}.items():
         assert a.accepts_at(text.encode().split(), 0) == bool(ok), text
@@ -132,6 +147,52 @@ def test_media_round_trip(spark):
     assert out[0].feature == out[1].feature
 
 
+def plain_cosine_hash(payload, side=32, low=8):
+    """The feature by plain sums: block means of 64 pixels wide rows, cosine transform, frequencies against their median."""
+    rows = [payload[i : i + 64] for i in range(0, len(payload), 64)]
+    n = len(rows)
+    small = []
+    for y in range(side):
+        a, b = y * n // side, max(y * n // side + 1, (y + 1) * n // side)
+        small.append([sum(rows[i][j] for i in range(a, b) for j in range(2 * x, 2 * x + 2)) / (2 * (b - a)) for x in range(side)])
+    cos = [[math.cos(math.pi * (2 * i + 1) * u / (2 * side)) for i in range(side)] for u in range(low)]
+    found = [round(sum(small[y][x] * cos[u][y] * cos[v][x] for y in range(side) for x in range(side)), 6) for u in range(low) for v in range(low)]
+    ranked = sorted(found[1:])
+    return found, ranked[len(ranked) // 2]
+
+
+def test_media_features_against_plain_sums(spark):
+    rng = random.Random(14)
+    texts = ["", "abc", random_text(rng, 400), random_text(rng, 3000), "x" * 700, "The same text. " * 90]
+    for r in media.media_features(media.to_media(frame(spark, texts))).collect():
+        found, middle = plain_cosine_hash(media.payload_of(texts[r.doc_id])[1])
+        bits = f"{int(r.feature, 16):064b}"
+        assert all(b == str(int(v > middle)) for b, v in zip(bits, found, strict=True) if abs(v - middle) > 1e-5)
+
+
+def edge_table(spark, names):
+    """A null id, repeated rows and ids, a very long text, extra columns of the given names."""
+    docs = spark.createDataFrame([(None, "no id", "en", "s", 1), (1, "one", "en", "s", 1), (1, "one", "en", "s", 1), (1, "other words", "en", "s", 1), (2, None, None, None, None), (3, "mit license long " * 60_000, "en", "s", 1)], DOCS)
+    for c in names:
+        docs = docs.withColumn(c, F.lit("x"))
+    return docs
+
+
+def test_map_operators_edges(spark):
+    """License scans, media and BPE: a row for each row, whatever the table; equal texts give equal results; an empty table gives an empty one."""
+    cases = [
+        (licenses.scan_licenses, ("labels", "score", "n_words")),
+        (lambda d: media.media_features(media.to_media(d)), ("media", "feature", "n_bytes")),
+        (lambda d: bpe.encode_documents(d, with_ids=True), ("ids", "n_tokens", "decoded_sha256")),
+    ]
+    for operator, names in cases:
+        docs = edge_table(spark, names)
+        rows = sorted(map(repr, (tuple(r) for r in operator(docs).collect())))
+        assert len(rows) == 6 and len(set(rows)) == 5 and operator(docs.limit(0)).count() == 0
+    long = {r.doc_id: r for r in licenses.scan_licenses(edge_table(spark, ())).collect()}[3]
+    assert (long.n_words, long.n_base, long.first_word, long.last_word) == (180_000, 60_000, 0, 179_997)
+
+
 def test_png_filters_and_damage():
     rng = np.random.default_rng(3)
     pixels = rng.integers(0, 256, (7, 5), dtype=np.uint8)
@@ -389,6 +450,18 @@ def test_token_files_find_added_tokens(spark, tmp_path):
     assert sorted(tuple(r) for r in registry.op7_token_files(spark, f"file://{tmp_path}").collect()) == want
 
 
+def test_token_files_edges(spark):
+    """Null ids come first, rows of one id by their text's hash, repeated rows stay; extra columns may have any name."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_files._defaults(None, None)[0])
+    docs = edge_table(spark, ("start", "name", "content", "h"))
+    got = sorted(tuple(r) for r in token_files.read_token_files(*token_files.write_token_files(docs, file_ids=3, added_tokens=True)).collect() if r.doc_id is not None)
+    first = len(tok.encode("no id", add_special_tokens=False).ids) + 1
+    assert [r[0] for r in got] == [1, 1, 1, 2, 3] and got[0][1] == first and all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:], strict=False))
+    assert sorted(r[2] for r in got) == sorted(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for t in ["one", "one", "other words", None, "mit license long " * 60_000])
+
+
 # 10 BPE
 
 

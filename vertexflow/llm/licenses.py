@@ -49,6 +49,30 @@ TEMPLATES = {
     "notice-copyright": "all rights reserved copyright <<var;words=1-8>> <<optional>>inc<</optional>> unauthorized copying of this file is strictly prohibited",
 }
 
+#: The warranty wording that follows the grants in the licences' full texts.
+_WARRANTY = {
+    "mit": (
+        "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability,"
+        " fitness for a particular purpose and noninfringement. In no event shall the <<var;words=1-8>> be liable for any claim, damages or other liability,"
+        " whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."
+    ),
+    "bsd": (
+        "<<optional>>3. Neither the name of <<var;words=1-12>> nor the names of its contributors may be used to endorse or promote products derived from this software"
+        " without specific prior written permission.<</optional>> This software is provided by the <<var;words=1-8>> \"as is\" and any express or implied warranties,"
+        " including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the"
+        " <<var;words=1-8>> be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of"
+        " substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract,"
+        " strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."
+    ),
+    "isc": (
+        "The software is provided \"as is\" and <<var;words=1-8>> disclaims all warranties with regard to this software including all implied warranties of"
+        " merchantability and fitness. In no event shall <<var;words=1-8>> be liable for any special, direct, indirect, or consequential damages or any damages whatsoever"
+        " resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use"
+        " or performance of this software."
+    ),
+}
+TEMPLATES |= {f"full-{k}": f"{TEMPLATES[f'text-{k}']} {v}" for k, v in _WARRANTY.items()}
+
 _MARK = re.compile(r"<<(/?optional|var;words=(\d+)-(\d+))>>")
 
 

@@ -146,7 +146,10 @@ def to_media(docs: DataFrame, level: int = LEVEL) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Reads the media column back: digests of the stored form and of what it holds, and the cosine hash."""
+    """Reads the media column back: digests of the stored form and of what it holds, and the cosine hash.
+
+    A row for each row, null ids too; a media value that is null, damaged or of another format is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = hashlib.sha256

@@ -28,7 +28,8 @@ def licenses_sql() -> str:
     phrases = {tuple(w.decode() for w in words(p)): label for p, label in licenses.BASE.items()}
     at = " OR ".join(f"w[i : i + {len(p) - 1}] = [{', '.join(repr(x) for x in p)}]" for p in phrases)
     base = [f"CASE WHEN contains(s, '{''.join(f' {x} ' for x in p)}') THEN '{label}' END" for p, label in phrases.items()]
-    more = [f"CASE WHEN regexp_matches(s, '{licenses.template_regex(t)}') THEN '{label}' END" for label, t in licenses.TEMPLATES.items()]
+    begin = {label: "".join(f" {w.decode()} " for w in words(t.partition("<<")[0])) for label, t in licenses.TEMPLATES.items()}
+    more = [f"CASE WHEN contains(s, '{begin[label]}') THEN CASE WHEN regexp_matches(s, '{licenses.template_regex(t)}') THEN '{label}' END END" for label, t in licenses.TEMPLATES.items()]
     return f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS} AS w FROM documents),
 e AS (SELECT *, array_to_string(list_transform(w, lambda x: ' ' || x || ' '), '') AS s FROM d),
