@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from vertexflow.functions import tables
 from vertexflow.llm import components, decontam, repeats, sharding, simhash, toxicity
 from vertexflow.llm.registry import queries
 
@@ -192,18 +193,14 @@ def test_components(spark):
 
 def test_components_of_a_hub(spark, monkeypatch):
     """A hub's links meet the least node in their own tasks; results are the same."""
-    from vertexflow.llm import common
-
-    monkeypatch.setattr(common, "LEAST_HEAVY", 3)
+    monkeypatch.setattr(tables, "LEAST_HEAVY", 3)
     pairs = [(500, i) for i in range(400, 450)] + [(450 + i, 451 + i) for i in range(20)] + [(7, 500), (90, 91)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{i: 7 for i in [7, 500, *range(400, 450)]}, **{450 + i: 450 for i in range(21)}, 90: 90, 91: 90}
 
 
 def test_keep_one_with_clashing_columns(spark, monkeypatch):
-    from vertexflow.llm import common
-
-    monkeypatch.setattr(common, "LEAST_HEAVY", 3)
+    monkeypatch.setattr(tables, "LEAST_HEAVY", 3)
     rows = [(i, "the same long text of copies" if i % 2 else f"quite another text number {i} {i * i} {i + 7}") for i in range(40)] + [(3, "the same long text of copies"), (2, "w " * 100_000 + "end")]
     docs = frame(spark, rows)
     want = sorted(simhash.keep_one(docs).select("doc_id", "text").collect())
@@ -275,9 +272,7 @@ def greedy_cut(sizes, shards=8):
 
 def test_sharding_of_a_hot_group_when_all_are_linked(spark, monkeypatch):
     """One text half of all rows, the others about 31 times each, no unlinked row."""
-    from vertexflow.llm import common
-
-    monkeypatch.setattr(common, "LEAST_HEAVY", 10)
+    monkeypatch.setattr(tables, "LEAST_HEAVY", 10)
     sizes = [400] + [31] * 12 + [28]
     rows = [f"text {g}" for g, n in enumerate(sizes) for _ in range(n)]
     random.Random(3).shuffle(rows)
@@ -349,9 +344,16 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id: r.decoded_sha256 for r in out} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in final.items()} and len(out) == len(final)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "repeats", "decontamination", "tokens"] and corpus_pipeline.ORACLE_SQL is None
-    extra = docs.withColumnsRenamed({"lang": "fp", "source": "vf"})
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, extra, sf).columns == extra.columns
+    odd = docs.unionByName(frame(spark, [(None, "a text without an id"), (1, rows[1][1]), (1, rows[1][1]), (305, "again " * 50_000)]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want = None
+        for names in (("lang", "source"), ("fp", "th"), ("row", "id"), ("runs", "pass"), ("vf_id", "vf_own_id")):
+            extra = odd.withColumnsRenamed(dict(zip(("lang", "source"), names, strict=True)))
+            found = stage(spark, extra, sf)
+            assert found.columns == extra.columns, name
+            kept = sorted(map(tuple, found.collect()), key=repr)
+            want = want or kept
+            assert kept == want and any(r[0] is None for r in kept), name
         assert stage(spark, docs.limit(0), sf).count() == 0
 
 

@@ -121,27 +121,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-#: Keys of at least a HEAVY-th of a table's rows are heavy; there are at most HEAVY of them.
-HEAVY, LEAST_HEAVY = 1000, 100
-
-
-def heavy_keys(sizes: DataFrame, keys: list[str], count: str = "n") -> DataFrame | None:
-    """The heavy keys of a table as a local table of at most HEAVY rows, None without any; sizes has a row and count for each key."""
-    total = sizes.agg(F.sum(count)).first()[0] or 0
-    found = sizes.where(F.col(count) >= max(total / HEAVY, LEAST_HEAVY)).select(*keys)
-    rows = [tuple(r) for r in found.collect()]
-    return sizes.sparkSession.createDataFrame(rows, found.schema) if rows else None
-
-
-def join_keyed(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame | None, how: str = "inner") -> DataFrame:
-    """left joined with right, which has one row for each key at most; left's rows of heavy keys stay in their tasks."""
-    if heavy is None:
-        return left.join(right, keys, how)
-    heavy = F.broadcast(heavy)
-    few = F.broadcast(right.join(heavy, keys, "left_semi"))
-    return left.join(heavy, keys, "left_anti").join(right, keys, how).unionByName(left.join(heavy, keys, "left_semi").join(few, keys, how))
-
-
 def free_name(name: str, taken: list[str]) -> str:
     """A column name that isn't taken, whatever its case."""
     while name.lower() in {t.lower() for t in taken}:

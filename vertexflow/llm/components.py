@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, heavy_keys, join_keyed, staged
+from ..functions.tables import heavy_keys, join_keyed
+from .common import drop_path, staged
 
 
 def _with_least(pairs: DataFrame) -> tuple[DataFrame, str]:

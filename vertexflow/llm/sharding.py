@@ -15,7 +15,8 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path, heavy_keys, join_keyed, ship, staged
+from ..functions.tables import heavy_keys, join_keyed
+from .common import drop_path, ship, staged
 
 SHARDS = 8
 

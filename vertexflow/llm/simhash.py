@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, heavy_keys, id_text, join_keyed, packed, sliced, staged
+from ..functions.tables import heavy_keys, join_keyed
+from .common import drop_path, id_text, packed, sliced, staged
 from .components import components
 
 BITS, BYTES, SEED = 64, 8, 42
