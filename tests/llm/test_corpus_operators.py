@@ -2,16 +2,18 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vertexflow.functions import tables
-from vertexflow.llm import components, decontam, repeats, sharding, simhash, toxicity
+from vertexflow.llm import common, components, decontam, repeats, sharding, simhash, toxicity
 from vertexflow.llm.registry import queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -359,3 +361,26 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
+
+
+def test_anchors_memory():
+    """What is held at a time beside the text's bytes: 52 bytes for each before, when all places' numbers were held together."""
+    buf = np.random.default_rng(3).bytes(1_000_000)
+    tracemalloc.start()
+    repeats.anchors(buf, [(a, a + 2000) for a in range(0, len(buf), 2000)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * len(buf)
+
+
+def test_workers_give_memory_back(spark):
+    """Arrow's own pool keeps what a task has freed; workers use the system's, and small batches while a table is staged."""
+
+    def run(batches):
+        for batch in common.sliced(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([pa.default_memory_pool().backend_name] * batch.num_rows), pa.array([batch.num_rows] * batch.num_rows)], ["pool", "n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    common.ship(spark)
+    got, _ = common.staged(spark.range(5000, numPartitions=1).mapInArrow(run, "pool string, n long"), "pools")
+    assert {r.pool for r in got.distinct().collect()} == {"system"} and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

@@ -32,20 +32,35 @@ def id_text(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+#: glibc's mallopt: how much freed memory stays at the top of the heap, from what size on a block is mapped by itself, and the most heaps.
+_MALLOPT = {-1: 4 << 20, -3: 4 << 20, -8: 2}
+
+
 def _give_back() -> None:
-    """Returns what earlier tasks of this worker freed to the system; workers are reused and would hold it."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    """Returns what earlier tasks of this worker freed to the system; workers are reused and would hold it.
+
+    Large blocks are mapped by themselves from now on, so that they go back as soon as they are freed. Left
+    alone, glibc raises that size with each block freed, up to 32 MB, and keeps what is below it; Arrow's own pool keeps what it had, too.
+    """
+    libc = ctypes.CDLL(None)
+    if pa.default_memory_pool().backend_name != "system":
+        pa.default_memory_pool().release_unused()
+        pa.set_memory_pool(pa.system_memory_pool())
+        if hasattr(libc, "mallopt"):
+            for k, v in _MALLOPT.items():
+                libc.mallopt(k, v)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that a worker holds few texts as Python objects at a time."""
+    """The same rows in small batches, so that a worker holds few texts as Python objects at a time; an idle worker gives its memory back."""
     _give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+    _give_back()
 
 
 _OWN: dict[str, str] = {}
@@ -97,8 +112,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: Spark's setting to drop a query's shuffle files when the query has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is staged: drop a query's shuffle files when the query has ended; rows of texts that executor and worker hold at once, twice each.
+_STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -107,12 +122,14 @@ def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     The shuffle files of the written query go with its end, as nothing reads them any more.
     """
     spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    path, before = new_path(spark, name), {k: spark.conf.get(k) for k in _STAGING}
     try:
+        for k, v in _STAGING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -58,22 +58,21 @@ def anchors(buf: bytes, cuts: list[tuple[int, int]], length: int = LENGTH) -> tu
     n = len(buf)
     if n < length:
         return (np.zeros(0, np.int64),) * 4
-    grams = np.ndarray((n - GRAM + 1,), "<u8", buf, strides=(1,))
-    key = (grams * np.uint64(0x9E3779B97F4A7C15)) & ~_LOW
-    key |= _LOW - np.arange(len(key), dtype=np.uint64)  # of equal hashes the last place
+    key = np.ndarray((n - GRAM + 1,), "<u8", buf, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+    key &= ~_LOW
+    key |= np.arange(int(_LOW), int(_LOW) - len(key), -1, dtype=np.uint64)  # of equal hashes the last place
     least = _sliding_min(key, window)
-    owner, first = [], []
-    for i, (a, b) in enumerate(cuts):
-        if b - a >= length:
-            first.append(np.arange(a, b - length + 1))
-            owner.append(np.full(b - a - length + 1, i))
-    if not first:
-        return (np.zeros(0, np.int64),) * 4
-    s, owner = np.concatenate(first), np.concatenate(owner)
-    at = (_LOW - (least[s] & _LOW)).astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])]))
-    last = np.append(new[1:], len(s)) - 1
-    return owner[new], at[new], at[new] - s[last], at[new] - s[new]
+    del key
+    least &= _LOW
+    found = []
+    for i, (a, b) in enumerate(cuts):  # text by text: few numbers for each place are held at a time
+        if b - a < length:
+            continue
+        at = int(_LOW) - least[a : b - length + 1].astype(np.int64)
+        new = np.append(0, np.flatnonzero(at[1:] != at[:-1]) + 1)
+        last = np.append(new[1:], len(at)) - 1
+        found.append((np.full(len(new), i), at[new], at[new] - last - a, at[new] - new - a))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
 
 
 def _segments(texts: list[bytes], length: int) -> Iterator[tuple[bytes, list[tuple[int, int]], list[int], list[int]]]:
