@@ -193,6 +193,15 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("op", ["near_duplicates", "keep_one"])
+def test_postings_are_not_broadcast(spark, tmp_path, monkeypatch, op):
+    frame(spark, corpus(random.Random(3))).write.parquet(f"{tmp_path}/d")
+    plans, write = {}, simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, name: plans.update({name: df._jdf.queryExecution().sparkPlan().toString()}) or write(df, name))
+    getattr(simhash, op)(spark.read.parquet(f"{tmp_path}/d"))
+    assert "Generate explode" in plans["postings"] and "SortMergeJoin" in plans["postings"] and "BroadcastHashJoin" not in plans["postings"]
+
+
 def test_components_of_a_hub(spark, monkeypatch):
     """A hub's links meet the least node in their own tasks; results are the same."""
     monkeypatch.setattr(tables, "LEAST_HEAVY", 3)

@@ -124,7 +124,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, long_list: int = LONG_LIST)
     entry = F.array(*[F.struct(F.lit(i).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(masks)])
     postings = fps.select("fp", F.explode(entry).alias("e")).select("fp", "e.k", "e.v")
     lengths = postings.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
-    live, path = staged(postings.join(lengths, ["k", "v"]), "postings")
+    # Spark sizes postings as if explode made one row of each, and would broadcast them from a small file of fingerprints.
+    live, path = staged(postings.join(lengths.hint("merge"), ["k", "v"]), "postings")
     short = live.where(F.col("n") <= long_list).groupBy("k", "v").agg(F.collect_list("fp").alias("fps"))
     splits = spark.createDataFrame([(i, j, _signed(s)) for i, m in enumerate(masks) for j, s in enumerate(split_masks(m, distance))], "k byte, j int, s long")
     by_key = splits.groupBy("k").agg(F.collect_list("s").alias("s"))  # as many rows as masks
